@@ -26,7 +26,7 @@ from ._common import rows_per_partition, schema_of, table
 KEPT = 300_000
 #: Pieces that one task packs together.
 EACH = 100_000
-#: A partition hands over at most one bin in this many, the emptiest, so each round has far fewer pieces.
+#: A certified partition hands over at most one bin in this many, the emptiest; one above its bound, one in two.
 SHARE = 16
 #: The bits that the end id and the piece columns take in the pieces' schema.
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -194,7 +194,7 @@ def _pack(at_length: int, capacity: int, round_: int, last: bool, share: int, na
         if not last:  # bins are handed over while they hold free space: it adds up between certified partitions too
             loose = np.flatnonzero(filled < capacity)
             loose = loose[np.argsort(filled[loose], kind="stable")]
-            open_[loose[: max(4, len(filled) // share)]] = True
+            open_[loose[: max(4, len(filled) // (2 if len(filled) > bound else share))]] = True
         base = ((round_ << 20) + TaskContext.get().partitionId()) << 32
         more = [pa.array(base + bins), pa.array(offsets), pa.array(open_[bins]), pa.array(np.full(len(bins), len(filled) - bound))]
         for b in pa.Table.from_arrays([*rows.columns, *more], names=names).to_batches(max_chunksize=20_000):

@@ -89,18 +89,21 @@ def fit_labels(votes: np.ndarray, start: np.ndarray, share: float, rounds: int =
     return model
 
 
-def fit(texts: list[set[str]], labels: np.ndarray, share: float) -> Model:
-    """Voters, label model and classifier from distinct words of labelled texts."""
+def feature_counts(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """A text's features, how many of its distinct words have each, and how many those are."""
+    words = words_of(text)
+    at, n = np.unique(np.array([f for w in words for f in features(w)], np.int32), return_counts=True)
+    return at, np.minimum(n, 65_535).astype(np.uint16), len(words)
+
+
+def fit(texts: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, share: float) -> Model:
+    """Voters, label model and classifier from the feature counts of labelled texts."""
     labels = labels.astype(float)
     toxic, clean = labels.sum(), len(labels) - labels.sum()
     if not toxic or not clean:
         return Model({}, 8.0 if toxic else -8.0)
-    own, per_word = [], {}
-    for words in texts:
-        flat = [f for w in words for f in (per_word.get(w) or per_word.setdefault(w, features(w)))]
-        own.append(np.unique(np.array(flat, np.int64), return_counts=True))
     seen = [np.zeros(SPACE), np.zeros(SPACE)]
-    for (at, _), y in zip(own, labels, strict=True):
+    for (at, _, _), y in zip(texts, labels, strict=True):
         seen[int(y)][at] += 1
     lift = np.log((seen[1] + 0.3) / (toxic + 0.6)) - np.log((seen[0] + 0.3) / (clean + 0.6))
     worth = np.where((seen[1] >= max(3, 0.004 * toxic)) & (lift > np.log(6)), seen[1] * lift, 0)
@@ -111,10 +114,10 @@ def fit(texts: list[set[str]], labels: np.ndarray, share: float) -> Model:
     column = np.full(SPACE, -1)
     column[chosen] = np.arange(len(chosen))
     counts = np.zeros((len(texts), len(chosen)), np.float32)
-    for i, (at, n) in enumerate(own):
+    for i, (at, n, _) in enumerate(texts):
         c = column[at]
         counts[i, c[c >= 0]] = n[c >= 0]
-    size = np.array([max(1, len(t)) for t in texts], np.float32)
+    size = np.array([max(1, k) for *_, k in texts], np.float32)
     lexicon = counts[:, :VOTERS] > 0
     hits = lexicon.sum(axis=1)
     dense = counts[:, :VOTERS].sum(axis=1) / size
@@ -145,10 +148,11 @@ def _logistic(x: np.ndarray, q: np.ndarray, weight: np.ndarray, rounds: int = 25
     return w, float(b)
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = [" ".join(sorted(words_of(t))) for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), batch.column(1)], ["words", "y"])
+        found = [feature_counts(t) for t in batch.column(0).to_pylist()]
+        parts = [pa.array([x.tobytes() for x in c], pa.binary()) for c in list(zip(*found, strict=True))[:2]] if found else [pa.array([], pa.binary())] * 2
+        yield pa.RecordBatch.from_arrays([*parts, pa.array([k for *_, k in found], pa.int32()), batch.column(1)], ["at", "n", "words", "y"])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 4, held: int = 2) -> Model:
@@ -156,15 +160,14 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     labels is toxic if one says so; null labels and null ids are left out."""
     given = labels.where((id_remainder(id_col, modulus) != held) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     given = given.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
-    known = docs.select(F.col(id_col).alias("_id")).where("_id is not null")
     n = dict(given.groupBy("_y").count().collect())
     toxic, clean = n.get(1, 0), n.get(0, 0)
     rate = F.when(F.col("_y") == 1, min(1.0, FIT_TOXIC / max(1, toxic))).otherwise(min(1.0, FIT_CLEAN / max(1, clean)))
     sample = table(given.where(F.pmod(F.xxhash64(F.lit("fit"), "_id"), F.lit(1_000_000)) < (rate * 1_000_000).cast("int")))
     rows = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("_id")).join(F.broadcast(sample), "_id")  # bounded by FIT_TOXIC and FIT_CLEAN
-    found = sorted(rows.select("_text", "_y").mapInArrow(_distinct, "words string, y int").collect())
+    found = sorted(rows.select("_text", "_y").mapInArrow(_counted, "at binary, n binary, words int, y int").collect(), key=lambda r: (bytes(r.at), bytes(r.n), r.y))
     share = float(np.clip(toxic / max(1, toxic + clean), 0.001, 0.999))
-    return fit([set(w.split()) for w, _ in found], np.array([y for _, y in found]), share)
+    return fit([(np.frombuffer(r.at, np.int32), np.frombuffer(r.n, np.uint16), r.words) for r in found], np.array([r.y for r in found]), share)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, held: int = 2, threshold: float = THRESHOLD) -> DataFrame:
