@@ -91,10 +91,12 @@ def _fits(items, free):
 
 def test_exchange_closes_gaps(spark):
     items = spark.range(4000).select(F.col("id"), (F.pmod(F.xxhash64("id"), F.lit(900)) + 1).cast("int").alias("length"))
-    out = packing.pack(items, each=200)
-    assert out.count() == 4000 and out.select("id").distinct().count() == 4000
     lengths = np.array([r.length for r in items.collect()])
-    assert out.select("sequence_id").distinct().count() <= packing.lower_bound(lengths, 1024) * 1.01 + 1
+    bins = lambda out: out.select("sequence_id").distinct().count()
+    mixed, alone = packing.pack(items, each=200), packing.pack(items, each=200, max_rounds=1)
+    assert mixed.count() == 4000 and mixed.select("id").distinct().count() == 4000
+    assert bins(mixed) < bins(alone)
+    assert bins(packing.pack(items, each=4000)) <= packing.lower_bound(lengths, 1024) * 1.01 + 1
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([(1, 2000)], "id int, length int"))
 
