@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import sys
 from datetime import timedelta
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tidemark.engine import Engine
@@ -15,6 +17,7 @@ from tidemark.sources.schemas import DETAILS, HOLDS, QUEUE, RUNS, SchemaError, c
 from tidemark.sources.snapshots import Conflict, Snapshots
 from tidemark.streaming import dispatcher, worker
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 NOW, DAY = utc("2026-04-12T12:00:00"), timedelta(days=1)
 A = Tenant("a")
 UUID = "10000000-0000-4000-8000-00000000000{}".format
