@@ -275,6 +275,32 @@ def test_similar_documents(spark):
     assert sum(got[i] == i - i % 2 for i in got) >= 116 and all(got[i] in (i, i - i % 2) for i in got)
 
 
+def test_similar_documents_down_to_the_threshold(spark):
+    """Pairs of several similarities against a brute-force Jaccard: none below it joined, few at or above it missed."""
+    r, texts = random.Random(5), []
+    for k in range(300):
+        words = [f"w{r.randrange(3000)}" for _ in range(200)]
+        other = list(words)
+        for at in r.sample(range(200), 1 + k % 7):
+            other[at] = f"w{r.randrange(3000)}"
+        texts += [" ".join(words), " ".join(other)]
+    sets = [simhash.shingles(t.encode(), 5) for t in texts]
+    alike = [len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    found = simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {x.doc_id: x.component_id for x in found.collect()}
+    joined = [got[2 * i + 1] == 2 * i for i in range(300)]
+    assert 100 < sum(alike) < 300 and not any(j and not w for j, w in zip(joined, alike, strict=True))
+    assert sum(j for j, w in zip(joined, alike, strict=True) if w) >= 0.93 * sum(alike)
+
+
+def test_similar_documents_repeats_do_not_hide_differences(spark):
+    """Texts that share one line many times over but little else stay apart: distinct shingles are what counts."""
+    line = prose(12, 7)
+    rows = [(i, "\n".join([line] * 200 + [prose(80, 100 + i)])) for i in range(6)]
+    found = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(x.component_id == x.doc_id for x in found)
+
+
 # -- quality
 
 

@@ -8,8 +8,9 @@ the lower bound filters pairs and the exact Hamming distance decides.  A run han
 all its pairs, and a run too long for one task is dealt out in pairs of blocks.
 
 ``near_duplicates`` links fingerprints within a few bits, exactly.  ``similar_documents`` links texts whose sets of
-shingles have a Jaccard similarity of 0.8 or more: such texts differ in some ten bits, for which equal bands are too
-short, so its grids are many random choices of segments; candidates within 14 bits are verified on the texts.
+shingles have a Jaccard similarity of 0.8 or more: such texts differ in some ten of 64 bits, for which equal bands are
+too short, so its grids are many random choices among the 128 segments of a 256-bit fingerprint; candidates within 18
+of the first 64 bits are verified on the texts.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from ._common import cut, schema_of, table
 
 SEGMENTS = 32
+#: 64-bit words of a wide fingerprint; a grid's random segments are drawn from all of them.
+WORDS = 4
 _LOW = np.uint64(0x5555555555555555)
 #: Runs up to this length are compared by shifting whole arrays, longer ones by a search from pivots.
 SHIFTS = 12
@@ -47,19 +50,33 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(bit_totals(hashes) * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def wide_fingerprint(text: bytes, shingle: int) -> np.ndarray:
+    """A SimHash of ``WORDS`` 64-bit words over a text's distinct shingles, as the Jaccard similarity counts them; the
+    words after the first come from remixed hashes.  No words: zeros."""
+    parts = shingles(text, shingle)
+    if not parts:
+        return np.zeros(WORDS, np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, len(parts))
+    more = [_mix(hashes + np.uint64(j * 0x9E3779B97F4A7C15 % 2**64)) for j in range(1, WORDS)]
+    totals = bit_totals(np.stack([hashes, *more], axis=1))
+    return np.packbits(totals * 2 > len(hashes), bitorder="little").view("<u8").astype(np.uint64)
+
+
 def bit_totals(hashes: np.ndarray) -> np.ndarray:
-    """For each of 64 bits, in how many hashes it is set."""
-    totals = np.zeros(64, np.int64)
+    """For each bit of 64-bit hashes, or of rows of several, in how many it is set."""
+    width = 8 * hashes.itemsize * (hashes.shape[1] if hashes.ndim > 1 else 1)
+    totals = np.zeros(width, np.int64)
     for at in range(0, len(hashes), 65_536):
-        bits = np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(np.ascontiguousarray(hashes[at : at + 65_536]).view(np.uint8).reshape(-1, width // 8), axis=1, bitorder="little")
         whole = len(bits) // 128 * 128
-        totals += bits[:whole].reshape(-1, 128, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        totals += bits[:whole].reshape(-1, 128, width).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
         totals += bits[whole:].sum(axis=0, dtype=np.int64)
     return totals
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp long, text_hash long) for every row; a null text counts as no words.  Other columns are dropped."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, wide: bool = False) -> DataFrame:
+    """(id, fp long, text_hash long) for every row; a null text counts as no words.  Other columns are dropped.  With
+    ``wide`` the fingerprint is over distinct shingles, ``fp`` is its first word and all words follow (wide binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,9 +84,17 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             fps = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in texts), np.uint64, len(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], ["id", "fp", "h"])
 
+    def run_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary())
+            words = [wide_fingerprint(t.as_py() or b"", shingle) for t in texts]
+            fps = np.fromiter((w[0] for w in words), np.uint64, len(batch))
+            every = pa.array([w.astype("<u8").tobytes() for w in words], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2), every], ["id", "fp", "h", "w"])
+
     rows = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.col(text_col)).alias("text_hash"))
-    schema = schema_of(docs, id_col, more="fp long, text_hash long")
-    return rows.mapInArrow(run, schema)
+    schema = schema_of(docs, id_col, more="fp long, text_hash long" + ", wide binary" * wide)
+    return rows.mapInArrow(run_wide if wide else run, schema)
 
 
 def embedding(fps: np.ndarray) -> np.ndarray:
@@ -89,10 +114,13 @@ def grids(bands: int, distance: int) -> list[np.uint64]:
     return [np.uint64(sum(x)) for x in combinations(masks, bands - distance)]
 
 
-def random_grids(tables: int, picks: int, seed: int = 11) -> list[np.uint64]:
-    """Masks of ``picks`` random segments each."""
+def random_grids(tables: int, picks: int, seed: int = 11) -> list[np.ndarray]:
+    """Masks, each of ``WORDS`` words, of ``picks`` random segments among all of a wide fingerprint's."""
     rng = np.random.default_rng(seed)
-    return [np.uint64(sum(3 << (2 * int(s)) for s in rng.choice(SEGMENTS, picks, replace=False))) for _ in range(tables)]
+    chosen = [np.zeros(WORDS * SEGMENTS, np.uint64) for _ in range(tables)]
+    for own in chosen:
+        own[rng.choice(len(own), picks, replace=False)] = 3
+    return [(own.reshape(WORDS, SEGMENTS) << np.arange(0, 64, 2, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) for own in chosen]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -158,6 +186,24 @@ def _cells(masks: list[np.uint64]):
     return run
 
 
+def wide_cells(wide: np.ndarray, mask: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th grid's cell of each wide fingerprint, a row of words."""
+    cells = np.full(len(wide), (k + 1) * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
+    for j in np.flatnonzero(mask):
+        cells = _mix(cells + (embedding(wide[:, j]) & mask[j]))
+    return cells
+
+
+def _wide(masks: list[np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").astype(np.uint64).reshape(-1, WORDS)
+            for k, mask in enumerate(masks):
+                yield pa.RecordBatch.from_arrays([pa.array(wide_cells(wide, mask, k).view(np.int64)), batch.column(0)], ["cell", "fp"])
+
+    return run
+
+
 def _sweep(distance: int, limit: int, inside):
     """Over rows sorted by cell: links inside each cell as (a, b, null); rows of too long runs as (null, fp, cell)."""
 
@@ -213,12 +259,13 @@ def _deferred(cells: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
 def links(fps: DataFrame, *, distance: int = 4, bands: int = 7, run_limit: int = RUN_LIMIT) -> DataFrame:
     """Distinct links (a, b) between the distinct fingerprints of column ``fp``: whatever is connected by pairs
     within ``distance`` is connected by them.  Empty input: no rows."""
-    return _grid_join(fps, grids(bands, distance), distance, run_limit, spanning_links)
+    cells = fps.select("fp").distinct().mapInArrow(_cells(grids(bands, distance)), "cell long, fp long")
+    return _grid_join(cells, distance, run_limit, spanning_links)
 
 
-def _grid_join(fps: DataFrame, masks: list[np.uint64], distance: int, run_limit: int, inside) -> DataFrame:
-    spark = fps.sparkSession
-    cells = fps.select("fp").distinct().mapInArrow(_cells(masks), "cell long, fp long")
+def _grid_join(cells: DataFrame, distance: int, run_limit: int, inside) -> DataFrame:
+    """Distinct links (a, b) within ``distance`` between fingerprints that share a cell of (cell, fp)."""
+    spark = cells.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     swept = table(cells.repartition(n, "cell").sortWithinPartitions("cell", "fp").mapInArrow(_sweep(distance, run_limit, inside), "a long, b long, cell long"))
     direct = swept.where("a is not null").select("a", "b")
@@ -308,16 +355,17 @@ def _similar(size: int, least: float):
     return run
 
 
-def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 14, tables: int = 100, picks: int = 12, run_limit: int = RUN_LIMIT) -> DataFrame:
+def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 18, tables: int = 150, picks: int = 12, run_limit: int = RUN_LIMIT) -> DataFrame:
     """(id, component_id, text_hash), one row for each row of ``docs``: components of texts whose sets of word
     shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Candidates share a cell of one of ``tables`` random grids and differ in at most ``distance`` bits; a pair just at
-    0.8 is a candidate with probability 0.85 or so, one at 0.9 nearly always.  Each candidate is verified exactly on
-    one text per fingerprint.  Equal fingerprints are one node without further test.  Nulls as in ``near_duplicates``.
+    Candidates share a cell of one of ``tables`` random grids and differ in at most ``distance`` of the first 64 bits;
+    a pair just at 0.8 is a candidate with probability 0.9 or so, one at 0.9 nearly always.  Each candidate is verified
+    exactly on one text per fingerprint.  Equal fingerprints are one node without further test.  Nulls as in ``near_duplicates``.
     """
-    rows = table(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle).withColumnRenamed(id_col, "id"))
-    found = table(_grid_join(rows, random_grids(tables, picks), distance, run_limit, nearest_links))
+    rows = table(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, wide=True).withColumnRenamed(id_col, "id"))
+    cells = rows.select("fp", "wide").distinct().mapInArrow(_wide(random_grids(tables, picks)), "cell long, fp long")
+    found = table(_grid_join(cells, distance, run_limit, nearest_links))
     nodes = found.select(F.col("a").alias("fp")).union(found.select("b")).distinct()
     pick = F.min(F.struct("id", "text_hash")).alias("p")
     picked = rows.join(nodes, "fp").groupBy("fp").agg(pick).select("fp", F.col("p.id").alias("_i"), F.col("p.text_hash").alias("_h"))
