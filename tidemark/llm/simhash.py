@@ -10,7 +10,8 @@ all its pairs, and a run too long for one task is dealt out in pairs of blocks.
 ``near_duplicates`` links fingerprints within a few bits, exactly.  ``similar_documents`` links texts whose sets of
 shingles have a Jaccard similarity of 0.8 or more: such texts differ in some ten of 64 bits, for which equal bands are
 too short, so its grids are many random choices among the 128 segments of a 256-bit fingerprint; candidates within 18
-of the first 64 bits are verified on the texts.
+of the first 64 bits are verified on the texts.  First each text's nearest candidate is verified, twice; then every
+candidate whose two texts are still in different components.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ SHIFTS = 12
 #: Runs over this length leave their task and are dealt out in pairs of blocks.
 RUN_LIMIT = 50_000
 BLOCK = 8_192
+#: Distances that a task computes at a time.
+PAIRS_AT_ONCE = 4_000_000
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -157,23 +160,38 @@ def spanning_links(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return links
 
 
-def nearest_links(fps: np.ndarray, distance: int, most: int = 3) -> list[tuple[int, int]]:
-    """For each fingerprint its ``most`` nearest others within ``distance``, so a hub keeps all its neighbours' links
-    while the number of links stays in proportion to the fingerprints."""
+def nearest_links(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """For each fingerprint its nearest other within ``distance``.  What this leaves out, ``across_links`` finds."""
     fps = np.unique(fps)
     links: set[tuple[int, int]] = set()
-    for at in range(0, len(fps), 512):
-        own = fps[at : at + 512]
+    step = max(1, PAIRS_AT_ONCE // max(1, len(fps)))
+    for at in range(0, len(fps) if len(fps) > 1 else 0, step):
+        own = fps[at : at + step]
         gap = np.bitwise_count(own[:, None] ^ fps[None, :]).astype(np.uint8)
         gap[np.arange(len(own)), at + np.arange(len(own))] = 255
-        k = min(most, len(fps) - 1)
-        best = np.argpartition(gap, k - 1, axis=1)[:, :k] if k else np.zeros((len(own), 0), int)
-        for i, j in zip(*np.nonzero(np.take_along_axis(gap, best, axis=1) <= distance), strict=True):
-            a, b = int(own[i]), int(fps[best[i, j]])
-            links.add((min(a, b), max(a, b)))
+        best = gap.argmin(axis=1)
+        for i in np.flatnonzero(gap[np.arange(len(own)), best] <= distance):
+            x, y = int(own[i]), int(fps[best[i]])
+            links.add((min(x, y), max(x, y)))
     return list(links)
 
 
+def across_links(fps: np.ndarray, roots: np.ndarray, distance: int) -> Iterator[np.ndarray]:
+    """All pairs of fingerprints within ``distance`` that have different roots, as arrays of two columns."""
+    fps, first = np.unique(fps, return_index=True)
+    roots = roots[first]
+    if len(roots) == 0 or (roots == roots[0]).all():
+        return
+    step = max(1, PAIRS_AT_ONCE // len(fps))
+    for at in range(0, len(fps), step):
+        own = fps[at : at + step]
+        hit = (np.bitwise_count(own[:, None] ^ fps[None, at:]) <= distance) & (roots[at : at + step, None] != roots[None, at:])
+        i, j = np.nonzero(hit)
+        i, j = i[j > i], j[j > i]
+        if len(i):
+            yield np.stack([own[i], fps[at + j]], axis=1)
+
+
 def _cells(masks: list[np.uint64]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,63 +215,80 @@ def wide_cells(wide: np.ndarray, mask: np.ndarray, k: int) -> np.ndarray:
 def _wide(masks: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").astype(np.uint64).reshape(-1, WORDS)
+            wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), "<u8").astype(np.uint64).reshape(-1, WORDS)
+            others = [n for n in batch.schema.names if n != "wide"]
             for k, mask in enumerate(masks):
-                yield pa.RecordBatch.from_arrays([pa.array(wide_cells(wide, mask, k).view(np.int64)), batch.column(0)], ["cell", "fp"])
+                cells = pa.array(wide_cells(wide, mask, k).view(np.int64))
+                yield pa.RecordBatch.from_arrays([cells, *(batch.column(n) for n in others)], ["cell", *others])
 
     return run
 
 
-def _sweep(distance: int, limit: int, inside):
-    """Over rows sorted by cell: links inside each cell as (a, b, null); rows of too long runs as (null, fp, cell)."""
+def _inside(fps: np.ndarray, roots: np.ndarray | None, distance: int, some) -> Iterator[np.ndarray]:
+    """A run's links as arrays: those that ``some`` chooses or, where roots are known, all between different ones."""
+    if roots is not None:
+        yield from across_links(fps, roots, distance)
+    elif pairs := some(fps, distance):
+        yield np.array(pairs, np.uint64)
+
 
-    def found(cells: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _sweep(distance: int, limit: int, some):
+    """Over rows (cell, fp[, root]) sorted by cell: links inside each cell as (a, b, null); rows of too long runs as
+    (root or null, fp, cell)."""
+
+    def found(cells: np.ndarray, fps: np.ndarray, roots: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
         sizes = np.diff(np.append(starts, len(cells)))
         short = np.repeat(sizes <= SHIFTS + 1, sizes)
         for lag in range(1, min(SHIFTS, int(sizes.max()) - 1) + 1):
-            i = np.flatnonzero((cells[lag:] == cells[:-lag]) & short[lag:])
+            match = (cells[lag:] == cells[:-lag]) & short[lag:]
+            i = np.flatnonzero(match if roots is None else match & (roots[lag:] != roots[:-lag]))
             i = i[near(fps[i], fps[i + lag], distance)] if len(i) else i
             yield _links(fps[i], fps[i + lag])
         for k in np.flatnonzero(sizes > SHIFTS + 1):
-            pairs = inside(fps[starts[k] : starts[k] + sizes[k]], distance)
-            if pairs:
-                x = np.array(pairs, np.uint64)
+            own = slice(starts[k], starts[k] + sizes[k])
+            for x in _inside(fps[own], None if roots is None else roots[own], distance, some):
                 yield _links(x[:, 0], x[:, 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, fps, long_cell = np.empty(0, np.int64), np.empty(0, np.uint64), None
+        held: list[np.ndarray] = []
+        long_cell = None
         for batch in batches:
-            c, f = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            f = f.view(np.uint64)
+            own = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
             if long_cell is not None:  # still inside a run that is dealt out
-                same = int(np.searchsorted(c != long_cell, True))
+                same = int(np.searchsorted(own[0] != long_cell, True))
                 if same:
-                    yield _deferred(c[:same], f[:same])
-                if same == len(c):
+                    yield _deferred([v[:same] for v in own])
+                if same == len(own[0]):
                     continue
-                c, f, long_cell = c[same:], f[same:], None
-            cells, fps = np.concatenate((cells, c)), np.concatenate((fps, f))
+                own, long_cell = [v[same:] for v in own], None
+            held = [np.concatenate(v) for v in zip(held, own, strict=True)] if held else own
+            cells = held[0]
             last = int(np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))[-1]) if len(cells) else 0
             if last:
-                yield from found(cells[:last], fps[:last])
-                cells, fps = cells[last:], fps[last:]
-            if len(cells) > limit:
-                yield _deferred(cells, fps)
-                long_cell, cells, fps = cells[0], cells[:0], fps[:0]
-        if len(cells):
-            yield from found(cells, fps)
+                yield from found(*_columns([v[:last] for v in held]))
+                held = [v[last:] for v in held]
+            if len(held[0]) > limit:
+                yield _deferred(held)
+                long_cell, held = held[0][0], []
+        if held and len(held[0]):
+            yield from found(*_columns(held))
 
     return run
 
 
+def _columns(held: list[np.ndarray]) -> tuple:
+    return held[0], held[1].view(np.uint64), held[2] if len(held) > 2 else None
+
+
 def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     a, b = np.asarray(a, np.uint64).view(np.int64), np.asarray(b, np.uint64).view(np.int64)
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "cell"])
 
 
-def _deferred(cells: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.nulls(len(fps), pa.int64()), pa.array(fps.view(np.int64)), pa.array(cells)], ["a", "b", "cell"])
+def _deferred(held: list[np.ndarray]) -> pa.RecordBatch:
+    roots = pa.array(held[2]) if len(held) > 2 else pa.nulls(len(held[0]), pa.int64())
+    return pa.RecordBatch.from_arrays([roots, pa.array(held[1]), pa.array(held[0])], ["a", "b", "cell"])
 
 
 def links(fps: DataFrame, *, distance: int = 4, bands: int = 7, run_limit: int = RUN_LIMIT) -> DataFrame:
@@ -263,22 +298,25 @@ def links(fps: DataFrame, *, distance: int = 4, bands: int = 7, run_limit: int =
     return _grid_join(cells, distance, run_limit, spanning_links)
 
 
-def _grid_join(cells: DataFrame, distance: int, run_limit: int, inside) -> DataFrame:
-    """Distinct links (a, b) within ``distance`` between fingerprints that share a cell of (cell, fp)."""
+def _grid_join(cells: DataFrame, distance: int, run_limit: int, some=None) -> DataFrame:
+    """Distinct links (a, b) within ``distance`` between fingerprints that share a cell of (cell, fp[, root]): in long
+    cells those that ``some`` chooses; with roots, in all cells all links between different roots."""
     spark = cells.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    swept = table(cells.repartition(n, "cell").sortWithinPartitions("cell", "fp").mapInArrow(_sweep(distance, run_limit, inside), "a long, b long, cell long"))
-    direct = swept.where("a is not null").select("a", "b")
-    late = swept.where("cell is not null").select("cell", F.col("b").alias("fp"))
+    swept = table(cells.repartition(n, "cell").sortWithinPartitions("cell", "fp").mapInArrow(_sweep(distance, run_limit, some), "a long, b long, cell long"))
+    direct = swept.where("cell is null").select("a", "b")
+    late = swept.where("cell is not null").select("cell", F.col("b").alias("fp"), F.col("a").alias("root"))
     sizes = late.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     if not sizes.isEmpty():
+        rooted = "root" in cells.columns
         dealt = late.join(sizes, "cell").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-        dealt = dealt.select("cell", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        dealt = dealt.select("cell", "fp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+        dealt = dealt.select("cell", "fp", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        dealt = dealt.select("cell", "fp", "root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
 
         def block(t: pa.Table) -> pa.Table:
-            pairs = inside(t.column("fp").to_numpy().view(np.uint64), distance)
-            x = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
+            roots = t.column("root").to_numpy() if rooted else None
+            found = list(_inside(t.column("fp").to_numpy().view(np.uint64), roots, distance, some))
+            x = np.concatenate([np.empty((0, 2), np.uint64), *found]).view(np.int64)
             return pa.table({"a": x[:, 0], "b": x[:, 1]})
 
         direct = direct.union(dealt.groupBy("cell", "x", "y").applyInArrow(block, "a long, b long"))
@@ -360,23 +398,53 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     shingles have a Jaccard similarity of ``similarity`` or more.
 
     Candidates share a cell of one of ``tables`` random grids and differ in at most ``distance`` of the first 64 bits;
-    a pair just at 0.8 is a candidate with probability 0.9 or so, one at 0.9 nearly always.  Each candidate is verified
-    exactly on one text per fingerprint.  Equal fingerprints are one node without further test.  Nulls as in ``near_duplicates``.
+    a pair just at 0.8 is a candidate with probability 0.9 or so, one at 0.9 nearly always.  A candidate is verified
+    exactly on one text per fingerprint.  Two rounds verify each fingerprint's nearest candidate in another component;
+    then a second pass over the grids verifies all candidates that are still in different components, so none that
+    could join two components is left out.  Equal fingerprints are one node without further test.  Nulls as in
+    ``near_duplicates``.
     """
     rows = table(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, wide=True).withColumnRenamed(id_col, "id"))
-    cells = rows.select("fp", "wide").distinct().mapInArrow(_wide(random_grids(tables, picks)), "cell long, fp long")
-    found = table(_grid_join(cells, distance, run_limit, nearest_links))
+    prints, masks = rows.select("fp", "wide").distinct(), random_grids(tables, picks)
+    found = table(_grid_join(prints.mapInArrow(_wide(masks), "cell long, fp long"), distance, run_limit, nearest_links))
     nodes = found.select(F.col("a").alias("fp")).union(found.select("b")).distinct()
     pick = F.min(F.struct("id", "text_hash")).alias("p")
     picked = rows.join(nodes, "fp").groupBy("fp").agg(pick).select("fp", F.col("p.id").alias("_i"), F.col("p.text_hash").alias("_h"))
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_hash"))
     texts = own.join(cut(picked), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).groupBy("fp").agg(F.first("_text").alias("t"))
     texts = table(texts)
-    pairs = found.join(texts.select(F.col("fp").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("fp").alias("b"), F.col("t").alias("y")), "b")
-    verified = pairs.select("a", "b", "x", "y").mapInArrow(_similar(shingle, similarity), "a long, b long")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(texts.select(F.col("fp").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("fp").alias("b"), F.col("t").alias("y")), "b")
+        return table(pairs.select("a", "b", "x", "y").mapInArrow(_similar(shingle, similarity), "a long, b long"))
+
+    tested = table(_nearest(found))
+    verified = verify(tested)
+    apart = _apart(found.join(tested, ["a", "b"], "left_anti"), cut(stars(verified)))
+    again = table(_nearest(apart))
+    tested, verified = tested.union(again), verified.union(verify(again))
+    roots = cut(stars(verified)).select(F.col("node").alias("fp"), "root")
+    rooted = prints.join(roots, "fp", "left").select("fp", "wide", F.coalesce("root", "fp").alias("root"))
+    rest = _grid_join(rooted.mapInArrow(_wide(masks), "cell long, fp long, root long"), distance, run_limit)
+    verified = verified.union(verify(rest.join(tested, ["a", "b"], "left_anti")))
     return _classes(rows, verified).select(F.col("id").alias(id_col), "component_id", "text_hash")
 
 
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b), each fingerprint's one of fewest differing bits."""
+    gap = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("gap")
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"), gap)
+    best = ends.groupBy("e.x").agg(F.min(F.struct("gap", "e.y")).alias("m"))
+    return best.select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends have different roots under (node, root)."""
+    with_a = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
+    with_b = with_a.join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    return with_b.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` less all but one of each near-duplicate group: the smallest (id, text hash) stays, and of
     rows equal in both exactly one.  Columns are those of ``docs``."""
