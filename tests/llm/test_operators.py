@@ -301,6 +301,53 @@ def test_similar_documents_repeats_do_not_hide_differences(spark):
     assert all(x.component_id == x.doc_id for x in found)
 
 
+def _linked_roots(n, linked):
+    root = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if linked(i, j) and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if x == old else x for x in root]
+    return root
+
+
+@pytest.mark.parametrize("run_limit", [simhash.RUN_LIMIT, 40])
+def test_similar_documents_in_a_dense_group(spark, run_limit):
+    """One text with up to eight words changed, 150 times: nearly all are candidates of each other, some link only
+    through others and some not at all.  Components are those of all pairs by brute force, but for pairs that the
+    random grids may miss at the threshold."""
+    r = random.Random(9)
+    base, texts = [f"w{r.randrange(3000)}" for _ in range(150)], []
+    for k in range(150):
+        words = list(base)
+        for at in r.sample(range(150), k % 9):
+            words[at] = f"w{r.randrange(3000)}"
+        texts.append(" ".join(words))
+    sets = [simhash.shingles(t.encode(), 5) for t in texts]
+    want = _linked_roots(len(sets), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    found = simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), run_limit=run_limit)
+    got = {x.doc_id: x.component_id for x in found.collect()}
+    assert 10 < len(set(want)) < 120 and max(Counter(want).values()) > 30
+    assert all(want[i] == want[c] for i, c in got.items())  # nothing joined that brute force keeps apart
+    assert sum(got[i] != want[i] for i in got) <= 3
+
+
+def test_across_links():
+    r = np.random.default_rng(2)
+    fps = np.unique(np.uint64(0x0F0F) ^ (np.uint64(1) << r.integers(0, 64, 120).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 120).astype(np.uint64)))
+    n = len(fps)
+    roots, size, shared = r.integers(0, 4, n), np.full(n, 100), r.integers(70, 101, n)
+    got = {(int(a), int(b)) for x in simhash.across_links(fps, (roots, size, shared), 3, 0.8) for a, b, _ in x}
+    want = set()
+    for i in range(n):
+        for j in range(i + 1, n):
+            both = min(shared[i], shared[j])
+            if roots[i] != roots[j] and int(fps[i] ^ fps[j]).bit_count() <= 3 and both >= 0.8 * (200 - both):
+                want.add((int(fps[i]), int(fps[j])))
+    assert want and got == want
+    assert not list(simhash.across_links(fps[:0], (roots[:0], size[:0], shared[:0]), 3, 0.8))
+
+
 # -- quality
 
 

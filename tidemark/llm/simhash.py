@@ -10,8 +10,8 @@ all its pairs, and a run too long for one task is dealt out in pairs of blocks.
 ``near_duplicates`` links fingerprints within a few bits, exactly.  ``similar_documents`` links texts whose sets of
 shingles have a Jaccard similarity of 0.8 or more: such texts differ in some ten of 64 bits, for which equal bands are
 too short, so its grids are many random choices among the 128 segments of a 256-bit fingerprint; candidates within 18
-of the first 64 bits are verified on the texts.  First each text's nearest candidate is verified, twice; then every
-candidate whose two texts are still in different components.
+of the first 64 bits are verified on the texts.  First each text's nearest candidates are verified; then every
+candidate whose two texts are still in different components and share enough shingles with any text at all.
 """
 
 from __future__ import annotations
@@ -176,20 +176,29 @@ def nearest_links(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return list(links)
 
 
-def across_links(fps: np.ndarray, roots: np.ndarray, distance: int) -> Iterator[np.ndarray]:
-    """All pairs of fingerprints within ``distance`` that have different roots, as arrays of two columns."""
+def across_links(fps: np.ndarray, more: tuple[np.ndarray, ...], distance: int, least: float) -> Iterator[np.ndarray]:
+    """All pairs of fingerprints within ``distance`` whose ``more`` (root, size, shared; see ``may_link``) lets them
+    link, as arrays of three columns; the third adds up what the two share with others."""
     fps, first = np.unique(fps, return_index=True)
-    roots = roots[first]
-    if len(roots) == 0 or (roots == roots[0]).all():
+    more = tuple(v[first] for v in more)
+    if len(fps) < 2 or (more[0] == more[0][0]).all():
         return
     step = max(1, PAIRS_AT_ONCE // len(fps))
     for at in range(0, len(fps), step):
         own = fps[at : at + step]
-        hit = (np.bitwise_count(own[:, None] ^ fps[None, at:]) <= distance) & (roots[at : at + step, None] != roots[None, at:])
+        hit = np.bitwise_count(own[:, None] ^ fps[None, at:]) <= distance
+        hit &= may_link(tuple(v[at : at + step, None] for v in more), tuple(v[None, at:] for v in more), least)
         i, j = np.nonzero(hit)
         i, j = i[j > i], j[j > i]
         if len(i):
-            yield np.stack([own[i], fps[at + j]], axis=1)
+            yield np.stack([own[i], fps[at + j], (more[2][at + i] + more[2][at + j]).astype(np.uint64)], axis=1)
+
+
+def may_link(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], least: float) -> np.ndarray:
+    """Where two texts have different roots and may reach a Jaccard similarity of ``least``: of a text's ``size``
+    distinct shingles only ``shared`` occur in any other, so two texts have at most the smaller ``shared`` in common."""
+    both = np.minimum(x[2], y[2])
+    return (x[0] != y[0]) & (both >= least * (x[1] + y[1] - both))
 
 
 def _cells(masks: list[np.uint64]):
@@ -224,31 +233,33 @@ def _wide(masks: list[np.ndarray]):
     return run
 
 
-def _inside(fps: np.ndarray, roots: np.ndarray | None, distance: int, some) -> Iterator[np.ndarray]:
-    """A run's links as arrays: those that ``some`` chooses or, where roots are known, all between different ones."""
-    if roots is not None:
-        yield from across_links(fps, roots, distance)
+def _inside(fps: np.ndarray, more: tuple[np.ndarray, ...], distance: int, some) -> Iterator[np.ndarray]:
+    """A run's links as arrays: those that ``some`` chooses or, if it is a similarity, all that ``may_link``."""
+    if isinstance(some, float):
+        yield from across_links(fps, more, distance, some)
     elif pairs := some(fps, distance):
         yield np.array(pairs, np.uint64)
 
 
 def _sweep(distance: int, limit: int, some):
-    """Over rows (cell, fp[, root]) sorted by cell: links inside each cell as (a, b, null); rows of too long runs as
-    (root or null, fp, cell)."""
+    """Over rows (cell, fp, ...) sorted by cell: links inside each cell as (a, b, null); rows of too long runs as
+    (null, fp, cell)."""
 
-    def found(cells: np.ndarray, fps: np.ndarray, roots: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    def found(cells: np.ndarray, fps: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
+        fps = fps.view(np.uint64)
         starts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
         sizes = np.diff(np.append(starts, len(cells)))
         short = np.repeat(sizes <= SHIFTS + 1, sizes)
         for lag in range(1, min(SHIFTS, int(sizes.max()) - 1) + 1):
-            match = (cells[lag:] == cells[:-lag]) & short[lag:]
-            i = np.flatnonzero(match if roots is None else match & (roots[lag:] != roots[:-lag]))
+            i = np.flatnonzero((cells[lag:] == cells[:-lag]) & short[lag:])
+            if more:
+                i = i[may_link(tuple(v[i] for v in more), tuple(v[i + lag] for v in more), some)]
             i = i[near(fps[i], fps[i + lag], distance)] if len(i) else i
-            yield _links(fps[i], fps[i + lag])
+            yield _links(fps[i], fps[i + lag], more[2][i] + more[2][i + lag] if more else 0)
         for k in np.flatnonzero(sizes > SHIFTS + 1):
             own = slice(starts[k], starts[k] + sizes[k])
-            for x in _inside(fps[own], None if roots is None else roots[own], distance, some):
-                yield _links(x[:, 0], x[:, 1])
+            for x in _inside(fps[own], tuple(v[own] for v in more), distance, some):
+                yield _links(*np.ascontiguousarray(x.T))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -258,7 +269,7 @@ def _sweep(distance: int, limit: int, some):
             if long_cell is not None:  # still inside a run that is dealt out
                 same = int(np.searchsorted(own[0] != long_cell, True))
                 if same:
-                    yield _deferred([v[:same] for v in own])
+                    yield _deferred(own[0][:same], own[1][:same])
                 if same == len(own[0]):
                     continue
                 own, long_cell = [v[same:] for v in own], None
@@ -266,61 +277,62 @@ def _sweep(distance: int, limit: int, some):
             cells = held[0]
             last = int(np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))[-1]) if len(cells) else 0
             if last:
-                yield from found(*_columns([v[:last] for v in held]))
+                yield from found(*(v[:last] for v in held))
                 held = [v[last:] for v in held]
             if len(held[0]) > limit:
-                yield _deferred(held)
+                yield _deferred(held[0], held[1])
                 long_cell, held = held[0][0], []
         if held and len(held[0]):
-            yield from found(*_columns(held))
+            yield from found(*held)
 
     return run
 
 
-def _columns(held: list[np.ndarray]) -> tuple:
-    return held[0], held[1].view(np.uint64), held[2] if len(held) > 2 else None
-
-
-def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    a, b = np.asarray(a, np.uint64).view(np.int64), np.asarray(b, np.uint64).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "cell"])
+def _links(a: np.ndarray, b: np.ndarray, shared: np.ndarray | int = 0) -> pa.RecordBatch:
+    """Links with a score: more shared shingles first, then fewer differing bits."""
+    score = np.asarray(shared).astype(np.int64) * 128 + 64 - np.bitwise_count(a ^ b)
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(score), pa.nulls(len(a), pa.int64())], ["a", "b", "score", "cell"])
 
 
-def _deferred(held: list[np.ndarray]) -> pa.RecordBatch:
-    roots = pa.array(held[2]) if len(held) > 2 else pa.nulls(len(held[0]), pa.int64())
-    return pa.RecordBatch.from_arrays([roots, pa.array(held[1]), pa.array(held[0])], ["a", "b", "cell"])
+def _deferred(cells: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(fps), pa.int64())
+    return pa.RecordBatch.from_arrays([none, pa.array(fps), none, pa.array(cells)], ["a", "b", "score", "cell"])
 
 
 def links(fps: DataFrame, *, distance: int = 4, bands: int = 7, run_limit: int = RUN_LIMIT) -> DataFrame:
     """Distinct links (a, b) between the distinct fingerprints of column ``fp``: whatever is connected by pairs
     within ``distance`` is connected by them.  Empty input: no rows."""
     cells = fps.select("fp").distinct().mapInArrow(_cells(grids(bands, distance)), "cell long, fp long")
-    return _grid_join(cells, distance, run_limit, spanning_links)
+    return _grid_join(cells, distance, run_limit, spanning_links).select("a", "b")
 
 
-def _grid_join(cells: DataFrame, distance: int, run_limit: int, some=None) -> DataFrame:
-    """Distinct links (a, b) within ``distance`` between fingerprints that share a cell of (cell, fp[, root]): in long
-    cells those that ``some`` chooses; with roots, in all cells all links between different roots."""
+def _grid_join(cells: DataFrame, distance: int, run_limit: int, some, known: DataFrame | None = None) -> DataFrame:
+    """Distinct links (a, b, score) within ``distance`` between fingerprints that share a cell of (cell, fp, ...).
+
+    In long cells they are those that the function ``some`` chooses.  If ``some`` is a similarity, the cells also have
+    the columns root, size and shared of ``known``, and the links are all that ``may_link`` leaves, in all cells.
+    """
     spark = cells.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    swept = table(cells.repartition(n, "cell").sortWithinPartitions("cell", "fp").mapInArrow(_sweep(distance, run_limit, some), "a long, b long, cell long"))
-    direct = swept.where("cell is null").select("a", "b")
-    late = swept.where("cell is not null").select("cell", F.col("b").alias("fp"), F.col("a").alias("root"))
+    swept = table(cells.repartition(n, "cell").sortWithinPartitions("cell", "fp").mapInArrow(_sweep(distance, run_limit, some), "a long, b long, score long, cell long"))
+    direct = swept.where("cell is null").select("a", "b", "score")
+    late = swept.where("cell is not null").select("cell", F.col("b").alias("fp"))
     sizes = late.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     if not sizes.isEmpty():
-        rooted = "root" in cells.columns
+        late = late if known is None else late.join(known, "fp")
         dealt = late.join(sizes, "cell").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-        dealt = dealt.select("cell", "fp", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        dealt = dealt.select("cell", "fp", "root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("blocks", "own", "other")
+        names = [] if known is None else ["root", "size", "shared"]
 
         def block(t: pa.Table) -> pa.Table:
-            roots = t.column("root").to_numpy() if rooted else None
-            found = list(_inside(t.column("fp").to_numpy().view(np.uint64), roots, distance, some))
-            x = np.concatenate([np.empty((0, 2), np.uint64), *found]).view(np.int64)
-            return pa.table({"a": x[:, 0], "b": x[:, 1]})
+            more = tuple(t.column(c).to_numpy() for c in names)
+            found = list(_inside(t.column("fp").to_numpy().view(np.uint64), more, distance, some))
+            batches = [_links(*np.ascontiguousarray(x.T)) for x in found]
+            return pa.Table.from_batches(batches or [_links(*np.empty((2, 0), np.uint64))]).drop_columns("cell")
 
-        direct = direct.union(dealt.groupBy("cell", "x", "y").applyInArrow(block, "a long, b long"))
-    return direct.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        direct = direct.union(dealt.groupBy("cell", "x", "y").applyInArrow(block, "a long, b long, score long"))
+    return direct.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").distinct()
 
 
 def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -399,10 +411,11 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     Candidates share a cell of one of ``tables`` random grids and differ in at most ``distance`` of the first 64 bits;
     a pair just at 0.8 is a candidate with probability 0.9 or so, one at 0.9 nearly always.  A candidate is verified
-    exactly on one text per fingerprint.  Two rounds verify each fingerprint's nearest candidate in another component;
-    then a second pass over the grids verifies all candidates that are still in different components, so none that
-    could join two components is left out.  Equal fingerprints are one node without further test.  Nulls as in
-    ``near_duplicates``.
+    exactly on one text per fingerprint.  First each fingerprint's nearest candidates are verified, then those with
+    most shingles that other texts have too; a last pass over the grids verifies all candidates that are still in
+    different components, but for those whose counts of shingles that no other text has already show that they stay
+    under ``similarity``.  So none that could join two components is left out.  Equal fingerprints are one node
+    without further test.  Nulls as in ``near_duplicates``.
     """
     rows = table(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, wide=True).withColumnRenamed(id_col, "id"))
     prints, masks = rows.select("fp", "wide").distinct(), random_grids(tables, picks)
@@ -418,31 +431,49 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         pairs = pairs.join(texts.select(F.col("fp").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("fp").alias("b"), F.col("t").alias("y")), "b")
         return table(pairs.select("a", "b", "x", "y").mapInArrow(_similar(shingle, similarity), "a long, b long"))
 
-    tested = table(_nearest(found))
+    sizes = table(_sizes(texts, shingle))
+    sizes = sizes.where(F.col("shared") >= similarity * F.col("size"))
+
+    def apart(links: DataFrame) -> DataFrame:
+        roots = cut(stars(links)).select(F.col("node").alias("fp"), "root")
+        known = table(sizes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "size", "shared"))
+        cells = prints.join(known, "fp").mapInArrow(_wide(masks), "cell long, fp long, root long, size long, shared long")
+        return _grid_join(cells, distance, run_limit, float(similarity), known)
+
+    tested = table(_best(found))
     verified = verify(tested)
-    apart = _apart(found.join(tested, ["a", "b"], "left_anti"), cut(stars(verified)))
-    again = table(_nearest(apart))
-    tested, verified = tested.union(again), verified.union(verify(again))
-    roots = cut(stars(verified)).select(F.col("node").alias("fp"), "root")
-    rooted = prints.join(roots, "fp", "left").select("fp", "wide", F.coalesce("root", "fp").alias("root"))
-    rest = _grid_join(rooted.mapInArrow(_wide(masks), "cell long, fp long, root long"), distance, run_limit)
-    verified = verified.union(verify(rest.join(tested, ["a", "b"], "left_anti")))
+    hubs = table(_best(apart(verified)).join(tested, ["a", "b"], "left_anti"))
+    tested, verified = tested.union(hubs), verified.union(verify(hubs))
+    verified = verified.union(verify(apart(verified).join(tested, ["a", "b"], "left_anti")))
     return _classes(rows, verified).select(F.col("id").alias(id_col), "component_id", "text_hash")
 
 
-def _nearest(pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b), each fingerprint's one of fewest differing bits."""
-    gap = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("gap")
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"), gap)
-    best = ends.groupBy("e.x").agg(F.min(F.struct("gap", "e.y")).alias("m"))
-    return best.select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct()
+def _best(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, score), for each end that one of the highest score."""
+    by_a = pairs.groupBy("a").agg(F.max(F.struct("score", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    by_b = pairs.groupBy("b").agg(F.max(F.struct("score", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    return by_a.union(by_b).distinct()
+
+
+def _sizes(texts: DataFrame, size: int) -> DataFrame:
+    """(fp, size, shared) of texts (fp, t): how many distinct shingles each has, and how many of them another has too."""
 
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fp, t in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
+                own = shingles(t.as_py() or b"", size)
+                h = np.fromiter({xxhash.xxh64_intdigest(x) for x in own}, np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), fp.as_py(), np.int64)), pa.array(h)], ["fp", "h"])
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(shingles(t.as_py() or b"", size)) for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["fp", "size"])
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ends have different roots under (node, root)."""
-    with_a = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
-    with_b = with_a.join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    return with_b.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    once = texts.mapInArrow(hashes, "fp long, h long").groupBy("h").agg(F.min("fp").alias("fp"), F.count("*").alias("n")).where("n = 1")
+    own = once.groupBy("fp").agg(F.count("*").alias("alone"))
+    every = texts.mapInArrow(counts, "fp long, size long").join(own, "fp", "left")
+    return every.select("fp", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
