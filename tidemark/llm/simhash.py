@@ -37,7 +37,7 @@ SHIFTS = 12
 RUN_LIMIT = 50_000
 BLOCK = 8_192
 #: Distances that a task computes at a time.
-PAIRS_AT_ONCE = 4_000_000
+PAIRS_AT_ONCE = 250_000
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
