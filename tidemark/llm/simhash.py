@@ -36,6 +36,8 @@ SHIFTS = 12
 #: Runs over this length leave their task and are dealt out in pairs of blocks.
 RUN_LIMIT = 50_000
 BLOCK = 8_192
+#: Edges of a partition between rounds of components; partitions grow with the edges, and few edges make few files.
+EDGES_EACH = 200_000
 #: Distances that a task computes at a time.
 PAIRS_AT_ONCE = 250_000
 
@@ -340,21 +342,22 @@ def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     that isn't its component's smallest.  Each half round is cut, and its minima are, so hub nodes' rows can be split."""
 
     def smallest(rows: DataFrame) -> DataFrame:
-        return cut(rows.groupBy("a").agg(F.min("b").alias("m")))
+        return cut(rows.groupBy("a").agg(F.min("b").alias("m")).coalesce(parts))
 
     def state(rows: DataFrame) -> tuple:
         return tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = state(now)
+    parts = max(8, -(-before[0] // EDGES_EACH))
     for _ in range(max_rounds if before[0] else 0):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = smallest(both).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = cut(large)
+        large = cut(large.coalesce(parts))
         least = smallest(large)
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        now = cut(small.where("a <> b").distinct())
+        now = cut(small.where("a <> b").distinct().coalesce(parts))
         after = state(now)
         if after == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
