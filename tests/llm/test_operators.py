@@ -153,6 +153,30 @@ def test_model_is_normalised(spark):
         assert abs(inside[k] + 1 / 10 ** v.share[k] - 1) < 1e-9
 
 
+def test_language_model_learns_all_positions(spark):
+    """Every training position is learned from at any size, classes grow with the vocabulary, and a pattern that only
+    texts outside the start have is learned."""
+    start = [(i, " ".join(["red", "blue", "green", "grey"] * 20)) for i in range(20)]
+    late = [(i, " ".join(["red", "grey", "blue", "green"] * 60)) for i in range(20, 320)]
+    d = spark.createDataFrame(start + late, "doc_id long, text string").repartition(4)
+    v = lm_scoring.vocabulary(lm_scoring.count_words(d))
+    model, n = lm_scoring.train(d, v, text_col="text", start=d.where("doc_id < 20"))
+    alone = lm_scoring.train(d.where("doc_id < 20"), v, text_col="text", start=d.where("doc_id < 20"))[0]
+    assert n == sum(len(t.split()) + 1 for _, t in start + late)
+    red, grey, green = (v.words.index(w) for w in (b"red", b"grey", b"green"))
+    chance = lambda m: float((m.query(np.array([red]), np.array([green])) @ m.t.T + m.bias - m.normaliser(np.array([red]), np.array([green]))[:, None])[0, grey])
+    assert chance(model) > chance(alone) + 1
+    assert lm_scoring.own_classes(50_000) == lm_scoring.OWN and lm_scoring.own_classes(6_400_000) == 2 * lm_scoring.OWN
+
+
+def test_normalisers_of_all_contexts():
+    r = np.random.default_rng(3)
+    for scale in (0.3, 30):  # the second underflows in some products
+        m = lm_scoring.LogBilinear(*(scale * r.normal(size=s).astype(np.float32) for s in ((301, 8), (8,), (8,), (300, 8), (300,))))
+        two, before = np.divmod(np.arange(301 * 301), 301)
+        assert np.allclose(m.normalisers(), m.normaliser(before, two), rtol=1e-4, atol=1e-3)
+
+
 # -- language identification
 
 

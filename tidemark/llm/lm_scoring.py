@@ -2,8 +2,10 @@
 
 Every token's class is predicted from the two tokens before it: the most frequent words are classes of their own, the
 others share a class per ending.  A word's probability is its class's times its add-one share of the class's counts,
-so the model is normalised over all training words and one unseen word per ending class.  Word counts come from all
-training texts; only the neural part, whose size is fixed, is fitted on a bounded sample of positions.
+so the model is normalised over all training words and one unseen word per ending class.  Words that are classes of
+their own grow with the vocabulary.  Word counts and the neural part come from all training texts: a bounded sample of
+positions gives the neural part its start, then every partition goes over all its positions and the partitions'
+parameters are averaged by their numbers of positions.
 
 Counts of the ``TOP`` most frequent words are broadcast (a fixed bound); all other words' counts are joined to the
 documents' word frequencies on the word, so nothing that grows with the corpus is held in one place.
@@ -25,10 +27,15 @@ from ._common import id_remainder, schema_of, ship, shipped, table
 
 #: Words whose counts are broadcast.
 TOP = 2**18
-#: Words that are classes of their own, and endings that are classes.
+#: Words that are classes of their own up to ``OWN_TYPES`` different words (see ``own_classes``), and endings that are.
 OWN, ENDINGS = 800, 160
-#: Documents and positions per document that the neural part is fitted on, at most (in expectation for documents).
+OWN_TYPES = 100_000
+#: Documents and positions per document that the neural part starts from, at most (in expectation for documents).
 FIT_DOCS, FIT_POSITIONS = 6_000, 64
+#: Noise words per batch in the pass over all positions, which draws them far more often; their weight is the same.
+PASS_NOISE = 128
+#: Positions that a task shuffles and learns from at a time, and tasks that add up partitions' parameters.
+CHUNK, ADDERS = 262_144, 8
 DIM, NOISE, EPOCHS, BATCH, RATE = 32, 512, 4, 1024, 0.15
 #: Distinct words that a task counts before it hands its counts on.
 FLUSH = 300_000
@@ -110,6 +117,11 @@ def vocabulary(counts: DataFrame, *, top: int = TOP, own: int = OWN, endings: in
     return Vocabulary(words, n, classes, of, other, share, part / part.sum(), int(tokens or 0), int(types))
 
 
+def own_classes(types: int, own: int = OWN) -> int:
+    """``own`` words up to ``OWN_TYPES`` types, then more by the sixth root; contexts grow with the square of it."""
+    return int(own * max(1.0, types / OWN_TYPES) ** (1 / 6))
+
+
 @dataclass
 class LogBilinear:
     """score(class | two classes before) = (first * r[b] + second * r[a]) . t[class] + bias[class]."""
@@ -135,52 +147,85 @@ class LogBilinear:
             out[at : at + 2048] = top + np.log(z.sum(axis=1))
         return out
 
+    def normalisers(self) -> np.ndarray:
+        """``normaliser`` of all contexts, at two before * (classes + 1) + before: the exponential of a score is a
+        factor of each word before times one of the class, so the sums are one matrix product."""
+        near = (self.first * self.r).astype(np.float64) @ self.t.T.astype(np.float64) + self.bias
+        far = (self.second * self.r).astype(np.float64) @ self.t.T.astype(np.float64)
+        tops = near.max(axis=1), far.max(axis=1)
+        near, far = (np.exp(z - top[:, None], out=z) for z, top in zip((near, far), tops, strict=True))
+        out = np.empty((len(far), len(near)), np.float32)
+        for at in range(0, len(far), 256):
+            total = far[at : at + 256] @ near.T
+            # Where the two words before favour other classes, all products may underflow.
+            low = np.argwhere(total < 1e-200)
+            with np.errstate(divide="ignore"):
+                out[at : at + 256] = np.log(total) + tops[0] + tops[1][at : at + 256, None]
+            if len(low):
+                out[at + low[:, 0], low[:, 1]] = self.normaliser(low[:, 1], at + low[:, 0])
+        return out.ravel()
+
 
 def fit(positions: np.ndarray, noise: np.ndarray, *, dim: int = DIM, seed: int = 7) -> LogBilinear:
     """Noise-contrastive estimation over rows (two before, before, class), by Adagrad; the noise is the classes' share
     of tokens, drawn once per batch for all its rows.  Without rows the model is the noise distribution."""
     rng = np.random.default_rng(seed)
+    p, past = blank(noise, dim, rng)
+    for _ in range(EPOCHS):
+        learn(p, past, positions, noise, rng)
+    return LogBilinear(**p)
+
+
+def blank(noise: np.ndarray, dim: int, rng: np.random.Generator) -> tuple[dict, dict]:
+    """Parameters by name before any learning, and Adagrad's sums of squares."""
     k = len(noise)
     p = {
         "r": rng.normal(0, 0.1, (k + 1, dim)), "t": rng.normal(0, 0.1, (k, dim)),
         "first": np.ones(dim), "second": np.full(dim, 0.5), "bias": np.log(noise),
     }
     p = {n: v.astype(np.float32) for n, v in p.items()}
-    past = {n: np.full_like(v, 1e-2) for n, v in p.items()}
+    return p, {n: np.full_like(v, 1e-2) for n, v in p.items()}
+
+
+def learn(p: dict, past: dict, positions: np.ndarray, noise: np.ndarray, rng: np.random.Generator, drawn_each: int = NOISE) -> None:
+    """One pass over all ``positions`` in random order; changes ``p`` and ``past``."""
+    k = len(noise)
     offset = np.log(noise).astype(np.float32)
-    samples, negatives = 10.0, min(NOISE, 8 * k)
+    samples, negatives = 10.0, min(drawn_each, 8 * k)
+    upto = np.cumsum(noise)
 
     def step(name: str, grad: np.ndarray, rows: np.ndarray | None = None) -> None:
         if rows is not None:
-            own, where = np.unique(rows, return_inverse=True)
-            total = np.zeros((len(own), *grad.shape[1:]), np.float32)
-            np.add.at(total, where, grad)
-            past[name][own] += total * total
-            p[name][own] += RATE * total / np.sqrt(past[name][own])
-        else:
-            past[name] += grad * grad
-            p[name] += RATE * grad / np.sqrt(past[name])
-
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+            size, wide = len(p[name]), grad[0].size
+            at = rows if grad.ndim == 1 else (rows[:, None] * wide + np.arange(wide)).ravel()
+            grad = np.bincount(at, grad.ravel(), size * wide).astype(np.float32).reshape(p[name].shape)
+        past[name] += grad * grad
+        p[name] += RATE * grad / np.sqrt(past[name])
+
+    def sigmoid(x: np.ndarray) -> np.ndarray:
+        x = np.clip(x, -30, 30)
+        np.exp(np.negative(x, out=x), out=x)
+        x += 1
+        return np.reciprocal(x, out=x)
+
     shift = np.float32(math.log(samples))
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(positions))
-        for at in range(0, len(order), BATCH):
-            a, b, w = positions[order[at : at + BATCH]].T
-            n = len(w)
-            drawn = rng.choice(k, negatives, p=noise)
-            ra, rb = p["r"][a], p["r"][b]
-            q = p["first"] * rb + p["second"] * ra
-            tw, tn = p["t"][w], p["t"][drawn]
-            up = 1 - sigmoid((q * tw).sum(axis=1) + p["bias"][w] - offset[w] - shift)
-            down = -sigmoid(q @ tn.T + p["bias"][drawn] - offset[drawn] - shift) * np.float32(samples / negatives)
-            dq = up[:, None] * tw + down @ tn
-            step("t", np.concatenate((up[:, None] * q, down.T @ q)) / n, np.concatenate((w, drawn)))
-            step("bias", np.concatenate((up, down.sum(axis=0))) / n, np.concatenate((w, drawn)))
-            step("r", np.concatenate((dq * p["first"], dq * p["second"])) / n, np.concatenate((b, a)))
-            step("first", (dq * rb).sum(axis=0) / n)
-            step("second", (dq * ra).sum(axis=0) / n)
-    return LogBilinear(p["r"], p["first"], p["second"], p["t"], p["bias"])
+    order = rng.permutation(len(positions))
+    for at in range(0, len(order), BATCH):
+        a, b, w = positions[order[at : at + BATCH]].T
+        n = len(w)
+        drawn = np.minimum(np.searchsorted(upto, rng.random(negatives), side="right"), k - 1)
+        ra, rb = p["r"][a], p["r"][b]
+        q = p["first"] * rb + p["second"] * ra
+        tw, tn = p["t"][w], p["t"][drawn]
+        up = 1 - sigmoid((q * tw).sum(axis=1) + p["bias"][w] - offset[w] - shift)
+        down = sigmoid(q @ tn.T + (p["bias"][drawn] - offset[drawn] - shift))
+        down *= np.float32(-samples / negatives)
+        dq = up[:, None] * tw + down @ tn
+        step("t", np.concatenate((up[:, None] * q, down.T @ q)) / n, np.concatenate((w, drawn)))
+        step("bias", np.concatenate((up, down.sum(axis=0))) / n, np.concatenate((w, drawn)))
+        step("r", np.concatenate((dq * p["first"], dq * p["second"])) / n, np.concatenate((b, a)))
+        step("first", (dq * rb).sum(axis=0) / n)
+        step("second", (dq * ra).sum(axis=0) / n)
 
 
 class Reader:
@@ -219,12 +264,74 @@ def _sampled(shared, positions: int):
     return run
 
 
+def _passed(shared, seed: int):
+    """A row (positions, parameters) for a partition that has any: the parameters after a pass over all its positions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, p, past = shipped(shared)
+        reader, rng = Reader(v), np.random.default_rng(seed)
+        held: list[np.ndarray] = []
+        waiting = done = 0
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()):
+                _, cls = reader.read(words_of(text.as_py()))
+                before, two = contexts(cls, v.start)
+                held.append(np.stack((two, before, cls), axis=1).astype(np.int32))
+                waiting += len(cls)
+                if waiting >= CHUNK:
+                    learn(p, past, np.concatenate(held), v.noise, rng, PASS_NOISE)
+                    held, waiting, done = [], 0, done + waiting
+        if held:
+            learn(p, past, np.concatenate(held), v.noise, rng, PASS_NOISE)
+            done += waiting
+        if done:
+            every = np.concatenate([p[n].ravel() for n in p]).astype(np.float64) * done
+            yield _part(done, every)
+
+    return run
+
+
+def _part(n: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.astype("<f8").tobytes()], pa.binary())], ["n", "total"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, total = 0, None
+    for batch in batches:
+        for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = np.frombuffer(data.as_py(), "<f8")
+            n, total = n + k, own.copy() if total is None else total + own
+    if total is not None:
+        yield _part(n, total)
+
+
+def train(training: DataFrame, v: Vocabulary, *, text_col: str, start: DataFrame, seed: int = 7) -> tuple[LogBilinear, int]:
+    """A model of all positions of ``training``, and how many those are.  Positions of the rows of ``start`` (some of
+    ``training``) give it its start; then each partition makes a pass over every position it has from there, and the
+    partitions' parameters are averaged by their numbers of positions."""
+    spark = training.sparkSession
+    sample = start.select(text_col).mapInArrow(_sampled(ship(spark, v), FIT_POSITIONS), "rows binary").collect()
+    found = np.concatenate([np.zeros((0, 3), np.int32), *(np.frombuffer(r[0], "<i4").reshape(-1, 3) for r in sample)])
+    rng = np.random.default_rng(seed)
+    p, past = blank(v.noise, DIM, rng)
+    for _ in range(EPOCHS):
+        learn(p, past, found, v.noise, rng)
+    parts = training.select(text_col).mapInArrow(_passed(ship(spark, (v, p, past)), seed), "n long, total binary")
+    parts = parts.repartition(ADDERS).mapInArrow(_added, "n long, total binary").collect()  # a row per adder
+    n = sum(k for k, _ in parts)
+    if n:
+        mean = sum(np.frombuffer(data, "<f8") for _, data in parts) / n
+        ends = np.cumsum([x.size for x in p.values()])[:-1]
+        p = {name: own.reshape(p[name].shape).astype(np.float32) for name, own in zip(p, np.split(mean, ends), strict=True)}
+    return LogBilinear(**p), n
+
+
 def _scored(shared, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, model = shipped(shared)
         reader, m = Reader(v), len(v.noise) + 1
         log_c = np.append(np.log10(v.counts + 1.0), 0.0)  # the last: words beyond the frequent ones
-        log_z = np.full(m * m, np.nan, np.float32)
+        log_z = None
         ln10 = math.log(10)
         per_token = math.log10(v.tokens + v.types + 1)
         for whole in batches:
@@ -238,9 +345,8 @@ def _scored(shared, id_type: pa.DataType):
                 pairs = [contexts(r[1], v.start) for r in read]
                 before, two = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
                 key = two.astype(np.int64) * m + before
-                new = np.unique(key[np.isnan(log_z[key])])
-                if len(new):
-                    log_z[new] = model.normaliser(new % m, new // m)
+                if log_z is None:
+                    log_z = model.normalisers()
                 score = np.empty(len(cls))
                 for i in range(0, len(cls), 65_536):
                     s = slice(i, i + 65_536)
@@ -272,18 +378,16 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Rows whose crc32(id as text) mod ``modulus`` is ``held`` are scored but never learned from; a null id counts as
     the empty text.  A null text has no words but its end.  Repeated rows are learned from and scored as often as they
-    occur; extra columns are dropped.  With no training rows every base probability is 1, and the model has one class.
+    occur, every position of them; extra columns are dropped.  With no training rows every base probability is 1, and the model has one class.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), (id_remainder(id_col, modulus) == held).alias("held_out"))
     training = rows.where("not held_out")
     counts = table(count_words(training, text_col="_text"))
-    v = vocabulary(counts, top=top, own=own, endings=endings)
+    v = vocabulary(counts, top=top, own=own_classes(counts.count(), own), endings=endings)
     n = training.select("_id").count()
     chosen = F.pmod(F.xxhash64(F.lit("fit"), "_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, fit_docs / max(1, n)))
-    sample = training.where(chosen).select("_text").mapInArrow(_sampled(ship(spark, v), FIT_POSITIONS), "rows binary").collect()
-    found = np.concatenate([np.zeros((0, 3), np.int32), *(np.frombuffer(r[0], "<i4").reshape(-1, 3) for r in sample)])
-    model = fit(found, v.noise)
+    model, _ = train(training, v, text_col="_text", start=training.where(chosen))
     id_field = schema_of(rows, "_id", more="x int")
     stream = rows.select(F.monotonically_increasing_id().alias("_row"), "_id", "_text", "held_out")
     from pyspark.sql.pandas.types import to_arrow_type
