@@ -372,6 +372,14 @@ def test_across_links():
     assert not list(simhash.across_links(fps[:0], (roots[:0], size[:0], shared[:0]), 3, 0.8))
 
 
+def test_keep_one_with_null_and_shared_ids(spark):
+    """Unrelated texts all stay, whatever their ids; of copies one does."""
+    alike = [prose(60, 300 + i) for i in range(6)]
+    rows = [(None, t) for t in alike] + [(7, prose(60, 400 + i)) for i in range(4)] + [(None, alike[0]), (9, alike[1])]
+    kept = [r.text for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept) == sorted({t for _, t in rows})
+
+
 # -- quality
 
 

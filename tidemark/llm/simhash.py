@@ -381,12 +381,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def _classes(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """``rows`` (id, fp, ...) with the smallest id of their component under ``edges`` between fingerprints."""
+    """``rows`` (id, fp, ...) with their component under ``edges`` between fingerprints: its smallest fingerprint (root),
+    which names it alone, and its smallest id (component_id), which is null or another's too where ids are."""
     first = table(rows.groupBy("fp").agg(F.min("id").alias("first_id")))
     roots = stars(edges)
     rooted = first.join(roots, first.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    return rows.join(cut(rooted.join(named, "root").select("fp", "component_id")), "fp")
+    return rows.join(cut(rooted.join(named, "root").select("fp", "root", "component_id")), "fp")
 
 
 def shingles(text: bytes, size: int) -> set[bytes]:
@@ -420,6 +421,12 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     under ``similarity``.  So none that could join two components is left out.  Equal fingerprints are one node
     without further test.  Nulls as in ``near_duplicates``.
     """
+    found = _similar_classes(docs, id_col, text_col, shingle, similarity, distance, tables, picks, run_limit)
+    return found.select(F.col("id").alias(id_col), "component_id", "text_hash")
+
+
+def _similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 18, tables: int = 150, picks: int = 12, run_limit: int = RUN_LIMIT) -> DataFrame:
+    """The rows of ``similar_documents`` as (id, text_hash, root, component_id, ...)."""
     rows = table(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, wide=True).withColumnRenamed(id_col, "id"))
     prints, masks = rows.select("fp", "wide").distinct(), random_grids(tables, picks)
     found = table(_grid_join(prints.mapInArrow(_wide(masks), "cell long, fp long"), distance, run_limit, nearest_links))
@@ -448,7 +455,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     hubs = table(_best(apart(verified)).join(tested, ["a", "b"], "left_anti"))
     tested, verified = tested.union(hubs), verified.union(verify(hubs))
     verified = verified.union(verify(apart(verified).join(tested, ["a", "b"], "left_anti")))
-    return _classes(rows, verified).select(F.col("id").alias(id_col), "component_id", "text_hash")
+    return _classes(rows, verified)
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -482,8 +489,8 @@ def _sizes(texts: DataFrame, size: int) -> DataFrame:
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` less all but one of each near-duplicate group: the smallest (id, text hash) stays, and of
     rows equal in both exactly one.  Columns are those of ``docs``."""
-    found = table(similar_documents(docs, id_col=id_col, text_col=text_col, **how))
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col(id_col).alias("i"), F.col("text_hash").alias("h"))).alias("best"))
+    found = table(_similar_classes(docs, id_col, text_col, **how).select(F.col("id").alias(id_col), "text_hash", "root"))
+    best = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).alias("i"), F.col("text_hash").alias("h"))).alias("best"))
     best = best.select(F.col("best.i").alias("_keep_id"), F.col("best.h").alias("_keep_hash"))
     times = found.groupBy(F.col(id_col).alias("_i"), F.col("text_hash").alias("_h")).agg(F.count("*").alias("_times"))
     best = cut(best.join(times, F.col("_keep_id").eqNullSafe(F.col("_i")) & (F.col("_keep_hash") == F.col("_h"))).select("_keep_id", "_keep_hash", "_times"))
