@@ -189,6 +189,19 @@ def test_language_id(spark, awkward, nothing):
     assert language_id.identify(nothing).count() == 0
 
 
+def test_language_id_finds_rare_languages(spark):
+    """A language with one text in 600 is learned and predicted, also where the sample is small or ids are null."""
+    r = random.Random(6)
+    rare = [" ".join("".join(r.choice("бвгдежзклмн") for _ in range(5)) for _ in range(30)) for _ in range(20)]
+    rows = [(i, prose(20, 1000 + i), "en") for i in range(6000)] + [(i, prose(20, 1000 + i) + " zwölf größer", "de") for i in range(6000, 12000)]
+    rows += [(12000 + i, t, "ru") for i, t in enumerate(rare[:10])] + [(None, t, "ru") for t in rare[10:]]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    m = language_id.train(d, fit_docs=60)
+    assert m.languages == ["de", "en", "ru"]
+    best = lambda t: m.languages[int(m.logits(*language_id.gram_counts(t)).argmax())]
+    assert all(best(t) == "ru" for t in rare) and sum(best(t) == y for _, t, y in rows[:12000:100]) >= 110
+
+
 # -- repeated lines
 
 

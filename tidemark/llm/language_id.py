@@ -1,12 +1,13 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Texts become hashed counts of character 1- to 3-grams.  Document frequencies cover all training texts; the regression
-is fitted on a bounded sample of labelled texts by follow-the-regularised-leader with an elastic-net penalty, and a
+is fitted on a bounded sample of each language's labelled texts, with the languages' shares restored afterwards, by follow-the-regularised-leader with an elastic-net penalty, and a
 temperature fitted on texts kept apart calibrates its probabilities.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 from ._common import id_remainder, schema_of, ship, shipped, table
 
 BUCKETS = 2**15
-#: Labelled texts that the regression is fitted on, at most (in expectation).
-FIT_DOCS = 3_000
+#: Labelled texts that the regression is fitted on, at most (in expectation), dealt equally to the languages; a
+#: language has ``FIT_EACH`` at least, or all of its texts.
+FIT_DOCS, FIT_EACH = 3_000, 200
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.1
 UNKNOWN = "und"
 _LETTERS = np.array([i if chr(i).isalpha() else 32 for i in range(128)], np.uint32)
@@ -69,18 +71,25 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(examples: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray, *, seed: int = 3) -> Model | None:
-    """FTRL-proximal over the examples in random order; every seventh is kept apart to fit the temperature."""
-    languages = sorted({y for *_, y in examples})
+def fit(examples: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray, sizes: dict[str, int] | None = None, *, seed: int = 3) -> Model | None:
+    """FTRL-proximal over the examples in random order; every seventh of a language is kept apart to fit the
+    temperature.  ``sizes`` are the languages' numbers of texts, of which the examples may be uneven samples: biases
+    and the temperature's weights restore their shares."""
+    drawn = Counter(y for *_, y in examples)
+    languages = sorted(drawn)
     if not languages:
         return None
     k = len(languages)
     z, n = np.zeros((BUCKETS, k)), np.zeros((BUCKETS, k))
     zb, nb = np.zeros(k), np.zeros(k)
     order = np.random.default_rng(seed).permutation(len(examples))
-    apart, learned = order[::7], np.delete(order, np.s_[::7])
-    if not len(learned):
-        learned = apart
+    apart, learned, met = [], [], Counter()
+    for i in order:
+        met[examples[i][2]] += 1
+        (learned if met[examples[i][2]] % 7 else apart).append(i)
+    apart = apart or learned
+    share = np.array([(sizes or drawn)[y] / drawn[y] for y in languages])
+    share *= len(examples) / (share @ [drawn[y] for y in languages])
     gain = 8.0  # unit vectors have small entries; scaled, the penalties act on weights of ordinary size
 
     def proximal(z: np.ndarray, n: np.ndarray, l1: float) -> np.ndarray:
@@ -99,10 +108,10 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray, *,
             p[languages.index(y)] -= 1
             z[at], n[at] = update(z[at], n[at], w, x[:, None] * p)
             zb, nb = update(zb, nb, wb, p)
-    model = Model(languages, idf.astype(np.float32), (gain * proximal(z, n, L1)).astype(np.float32), proximal(zb, nb, 0.0))
+    model = Model(languages, idf.astype(np.float32), (gain * proximal(z, n, L1)).astype(np.float32), proximal(zb, nb, 0.0) + np.log(share))
     logits = np.array([model.logits(*examples[i][:2]) for i in apart])
     truth = np.array([languages.index(examples[i][2]) for i in apart])
-    loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean()
+    loss = lambda t: -(share[truth] * np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12)).mean()
     model.temperature = float(min(np.geomspace(0.2, 5, 41), key=loss))
     return model
 
@@ -132,8 +141,13 @@ def _learned(*columns: pa.Array) -> pa.RecordBatch:
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 3, held: int = 1, fit_docs: int = FIT_DOCS) -> Model | None:
     """A model from the rows whose crc32(id as text) mod ``modulus`` isn't ``held``; None without labelled texts."""
     rows = docs.where((id_remainder(id_col, modulus) != held) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = rows.select(id_col, lang_col).count()
-    chosen = F.pmod(F.xxhash64(F.lit("fit"), id_col), F.lit(1_000_000)) < int(1e6 * min(1.0, fit_docs / max(1, n)))
+    sizes = dict(rows.groupBy(lang_col).count().collect())  # a row per language
+    each = max(FIT_EACH, fit_docs // max(1, len(sizes)))
+    large = {y: int(1e9 * each / n) for y, n in sizes.items() if n > each}
+    rate = F.lit(1_000_000_000)
+    if large:
+        rate = F.coalesce(F.create_map(*(F.lit(x) for pair in large.items() for x in pair))[F.col(lang_col)], rate)
+    chosen = F.pmod(F.xxhash64(F.lit("fit"), id_col, text_col), F.lit(1_000_000_000)) < rate
     learned = table(rows.select(text_col, lang_col, chosen).mapInArrow(_learn, "bucket int, df long, lang string, data binary"))
     df = dict(learned.where("bucket is not null").groupBy("bucket").agg(F.sum("df")).collect())  # a row per bucket
     total = df.pop(-1, 0)
@@ -145,7 +159,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         pair = np.frombuffer(data, "<u2").astype(np.int64).reshape(2, -1)
         examples.append((pair[0], pair[1], lang))
     examples.sort(key=lambda e: (e[2], len(e[0]), e[1].tobytes()))
-    return fit(examples, idf)
+    return fit(examples, idf, sizes)
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 3, held: int = 1, fit_docs: int = FIT_DOCS) -> DataFrame:
