@@ -330,6 +330,18 @@ def test_similar_documents_down_to_the_threshold(spark):
     assert sum(j for j, w in zip(joined, alike, strict=True) if w) >= 0.93 * sum(alike)
 
 
+def test_similar_documents_finds_all_short_pairs(spark):
+    """Pairs of short texts at 0.8 or a little more, one a longer version of the other: every one is joined."""
+    r, pairs = random.Random(8), [(8, 9), (9, 10), (24, 29), (40, 49)]
+    texts = []
+    for k in range(120):
+        a, b = pairs[k % 4]
+        words = [f"w{r.randrange(3000)}" for _ in range(b)]
+        texts += [" ".join(words[:a]), " ".join(words)]
+    found = simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(x.component_id == x.doc_id // 2 * 2 for x in found) and len(found) == 240
+
+
 def test_similar_documents_repeats_do_not_hide_differences(spark):
     """Texts that share one line many times over but little else stay apart: distinct shingles are what counts."""
     line = prose(12, 7)

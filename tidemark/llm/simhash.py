@@ -40,6 +40,8 @@ BLOCK = 8_192
 EDGES_EACH = 200_000
 #: Distances that a task computes at a time.
 PAIRS_AT_ONCE = 250_000
+#: Texts of up to so many distinct shingles have an exact way to candidates besides the random grids.
+SHORT = 80
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -58,10 +60,17 @@ def fingerprint(text: bytes, shingle: int) -> int:
 def wide_fingerprint(text: bytes, shingle: int) -> np.ndarray:
     """A SimHash of ``WORDS`` 64-bit words over a text's distinct shingles, as the Jaccard similarity counts them; the
     words after the first come from remixed hashes.  No words: zeros."""
+    return _wide_of(_distinct_hashes(text, shingle))
+
+
+def _distinct_hashes(text: bytes, shingle: int) -> np.ndarray:
     parts = shingles(text, shingle)
-    if not parts:
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, len(parts))
+
+
+def _wide_of(hashes: np.ndarray) -> np.ndarray:
+    if not len(hashes):
         return np.zeros(WORDS, np.uint64)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, len(parts))
     more = [_mix(hashes + np.uint64(j * 0x9E3779B97F4A7C15 % 2**64)) for j in range(1, WORDS)]
     totals = bit_totals(np.stack([hashes, *more], axis=1))
     return np.packbits(totals * 2 > len(hashes), bitorder="little").view("<u8").astype(np.uint64)
@@ -81,7 +90,8 @@ def bit_totals(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, wide: bool = False) -> DataFrame:
     """(id, fp long, text_hash long) for every row; a null text counts as no words.  Other columns are dropped.  With
-    ``wide`` the fingerprint is over distinct shingles, ``fp`` is its first word and all words follow (wide binary)."""
+    ``wide`` the fingerprint is over distinct shingles, ``fp`` is its first word, and all words follow (wide binary) and, of texts of up to ``SHORT``
+    distinct shingles, the shingles' hashes (short binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,13 +102,15 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def run_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            words = [wide_fingerprint(t.as_py() or b"", shingle) for t in texts]
+            hashes = [_distinct_hashes(t.as_py() or b"", shingle) for t in texts]
+            words = [_wide_of(h) for h in hashes]
+            short = pa.array([h.astype("<u8").tobytes() if len(h) <= SHORT else None for h in hashes], pa.binary())
             fps = np.fromiter((w[0] for w in words), np.uint64, len(batch))
             every = pa.array([w.astype("<u8").tobytes() for w in words], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2), every], ["id", "fp", "h", "w"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2), every, short], ["id", "fp", "h", "w", "s"])
 
     rows = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.col(text_col)).alias("text_hash"))
-    schema = schema_of(docs, id_col, more="fp long, text_hash long" + ", wide binary" * wide)
+    schema = schema_of(docs, id_col, more="fp long, text_hash long" + ", wide binary, short binary" * wide)
     return rows.mapInArrow(run_wide if wide else run, schema)
 
 
@@ -414,7 +426,9 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     shingles have a Jaccard similarity of ``similarity`` or more.
 
     Candidates share a cell of one of ``tables`` random grids and differ in at most ``distance`` of the first 64 bits;
-    a pair just at 0.8 is a candidate with probability 0.9 or so, one at 0.9 nearly always.  A candidate is verified
+    a pair of 200-word texts just at 0.8 is a candidate with probability 0.9 or so, one at 0.9 nearly always.  Texts of
+    up to ``SHORT`` distinct shingles are also candidates if they share one of their rarest shingles, which leaves out
+    none of their pairs at ``similarity``.  A candidate is verified
     exactly on one text per fingerprint.  First each fingerprint's nearest candidates are verified, then those with
     most shingles that other texts have too; a last pass over the grids verifies all candidates that are still in
     different components, but for those whose counts of shingles that no other text has already show that they stay
@@ -430,7 +444,8 @@ def _similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = table(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, wide=True).withColumnRenamed(id_col, "id"))
     prints, masks = rows.select("fp", "wide").distinct(), random_grids(tables, picks)
     found = table(_grid_join(prints.mapInArrow(_wide(masks), "cell long, fp long"), distance, run_limit, nearest_links))
-    nodes = found.select(F.col("a").alias("fp")).union(found.select("b")).distinct()
+    short = table(_short_cells(rows, similarity))
+    nodes = found.select(F.col("a").alias("fp")).union(found.select("b")).union(short.select("fp")).distinct()
     pick = F.min(F.struct("id", "text_hash")).alias("p")
     picked = rows.join(nodes, "fp").groupBy("fp").agg(pick).select("fp", F.col("p.id").alias("_i"), F.col("p.text_hash").alias("_h"))
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_hash"))
@@ -448,7 +463,9 @@ def _similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         roots = cut(stars(links)).select(F.col("node").alias("fp"), "root")
         known = table(sizes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "size", "shared"))
         cells = prints.join(known, "fp").mapInArrow(_wide(masks), "cell long, fp long, root long, size long, shared long")
-        return _grid_join(cells, distance, run_limit, float(similarity), known)
+        exact = short.join(known, "fp").select("cell", "fp", "root", "size", "shared")
+        every = _grid_join(cells, distance, run_limit, float(similarity), known).union(_grid_join(exact, 64, run_limit, float(similarity), known))
+        return every.dropDuplicates(["a", "b"])
 
     tested = table(_best(found))
     verified = verify(tested)
@@ -458,6 +475,25 @@ def _similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return _classes(rows, verified)
 
 
+def _short_cells(rows: DataFrame, least: float) -> DataFrame:
+    """(cell, fp), the prefixes of short texts: of n distinct shingles, the rarest first, the first n - ceil(least * n)
+    + 1.  Two texts with a Jaccard similarity of ``least`` have one of them in common, so they share a cell."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(s, "<i8") for s in batch.column(1).to_pylist()]
+            n = np.array([len(h) for h in own], np.int64)
+            fps = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n)
+            yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array(np.concatenate(own)), pa.array(np.repeat(n, n))], ["fp", "h", "n"])
+
+    texts = rows.groupBy("fp").agg(F.min_by("short", F.struct("id", "text_hash")).alias("short")).where("short is not null")
+    found = table(texts.mapInArrow(hashes, "fp long, h long, n long"))
+    often = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")  # the others are first, and no one else's
+    own = found.join(often, "h").groupBy("fp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s"))  # ``SHORT`` at most
+    first = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1 - (F.col("n") - F.size("s"))
+    return own.select(F.explode(F.slice("s", F.lit(1), F.greatest(F.lit(0), first).cast("int"))).alias("x"), "fp").select(F.col("x.h").alias("cell"), "fp")
+
+
 def _best(pairs: DataFrame) -> DataFrame:
     """Of pairs (a, b, score), for each end that one of the highest score."""
     by_a = pairs.groupBy("a").agg(F.max(F.struct("score", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
