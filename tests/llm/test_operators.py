@@ -285,7 +285,7 @@ def test_simhash(spark, limit):
         assert (got[i].fingerprint, got[i].component_id) == (f"{f:016x}", least[c])
     base = r.getrandbits(64)
     x = np.array([base ^ sum(1 << r.randrange(64) for _ in range(r.randrange(5))) for _ in range(200)], np.uint64)
-    pairs = simhash.spanning_links(x, 4)
+    pairs = [(int(a), int(b)) for part in simhash.spanning_links(x, x[:, None], 4) for a, b in part]
     at = {int(v): k for k, v in enumerate(dict.fromkeys(x.tolist()))}
     have = _components(len(at), [(at[a], at[b]) for a, b in pairs])
     want = _components(len(at), [(at[a], at[b]) for a, b in combinations(at, 2) if (a ^ b).bit_count() <= 4])
@@ -386,7 +386,7 @@ def test_across_links():
     fps = np.unique(np.uint64(0x0F0F) ^ (np.uint64(1) << r.integers(0, 64, 120).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 120).astype(np.uint64)))
     n = len(fps)
     roots, size, shared = r.integers(0, 4, n), np.full(n, 100), r.integers(70, 101, n)
-    got = {(int(a), int(b)) for x in simhash.across_links(fps, (roots, size, shared), 3, 0.8) for a, b, _ in x}
+    got = {(int(a), int(b)) for x in simhash.across_links(fps, fps[:, None], (roots, size, shared), 3, 0.8) for a, b, *_ in x}
     want = set()
     for i in range(n):
         for j in range(i + 1, n):
@@ -394,7 +394,7 @@ def test_across_links():
             if roots[i] != roots[j] and int(fps[i] ^ fps[j]).bit_count() <= 3 and both >= 0.8 * (200 - both):
                 want.add((int(fps[i]), int(fps[j])))
     assert want and got == want
-    assert not list(simhash.across_links(fps[:0], (roots[:0], size[:0], shared[:0]), 3, 0.8))
+    assert not list(simhash.across_links(fps[:0], fps[:0, None], (roots[:0], size[:0], shared[:0]), 3, 0.8))
 
 
 def test_keep_one_with_null_and_shared_ids(spark):

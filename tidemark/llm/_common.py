@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import pickle
+import shutil
 import tempfile
 import uuid
 
@@ -21,13 +22,34 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def col(name: str) -> Column:
+    """The column called ``name``, whatever characters the name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores before it until no column of ``df`` is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where none is set, as in tests."""
+    """The folder of ``spark.checkpoint.dir``, or the one set on the context.  Where neither is, a temporary folder in
+    local mode, which has no other machine, and an error on a cluster."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
+    if path is None and current.isDefined():
+        path = current.get()
     if path is None:
-        path = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="tidemark-")
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     if not current.isDefined():
         sc.setCheckpointDir(path)
     return path

@@ -8,10 +8,11 @@ the lower bound filters pairs and the exact Hamming distance decides.  A run han
 all its pairs, and a run too long for one task is dealt out in pairs of blocks.
 
 ``near_duplicates`` links fingerprints within a few bits, exactly.  ``similar_documents`` links texts whose sets of
-shingles have a Jaccard similarity of 0.8 or more: such texts differ in some ten of 64 bits, for which equal bands are
-too short, so its grids are many random choices among the 128 segments of a 256-bit fingerprint; candidates within 18
-of the first 64 bits are verified on the texts.  First each text's nearest candidates are verified; then every
-candidate whose two texts are still in different components and share enough shingles with any text at all.
+shingles have a Jaccard similarity of 0.8 or more: such texts differ in some 39 of 256 bits, for which equal bands are
+too short, so its grids are many random choices among the 128 segments of a 256-bit fingerprint; candidates within 64
+bits are verified on the texts.  A node is a set of shingles, so only texts with equal sets are one node unverified.
+First each text's nearest candidates are verified; then every candidate whose two texts are still in different
+components and share enough shingles with any text at all.
 """
 
 from __future__ import annotations
@@ -25,11 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, schema_of, table
+from ._common import col, cut, fresh, schema_of, table
 
 SEGMENTS = 32
 #: 64-bit words of a wide fingerprint; a grid's random segments are drawn from all of them.
 WORDS = 4
+#: Bits of a wide fingerprint in which candidates may differ.  At a similarity of 0.8 the mean is 39, the deviation 6.
+DISTANCE = 64
+_WIDE = [f"w{j}" for j in range(WORDS)]
 _LOW = np.uint64(0x5555555555555555)
 #: Runs up to this length are compared by shifting whole arrays, longer ones by a search from pivots.
 SHIFTS = 12
@@ -76,6 +80,12 @@ def _wide_of(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(totals * 2 > len(hashes), bitorder="little").view("<u8").astype(np.uint64)
 
 
+def set_hash(hashes: np.ndarray) -> np.uint64:
+    """One number for a set of hashes, in whatever order they come."""
+    total = _mix(hashes ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)
+    return _mix(np.array([total + np.uint64(len(hashes))], np.uint64))[0]
+
+
 def bit_totals(hashes: np.ndarray) -> np.ndarray:
     """For each bit of 64-bit hashes, or of rows of several, in how many it is set."""
     width = 8 * hashes.itemsize * (hashes.shape[1] if hashes.ndim > 1 else 1)
@@ -90,8 +100,8 @@ def bit_totals(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, wide: bool = False) -> DataFrame:
     """(id, fp long, text_hash long) for every row; a null text counts as no words.  Other columns are dropped.  With
-    ``wide`` the fingerprint is over distinct shingles, ``fp`` is its first word, and all words follow (wide binary) and, of texts of up to ``SHORT``
-    distinct shingles, the shingles' hashes (short binary)."""
+    ``wide``, ``fp`` names the text's set of distinct shingles, the words of a fingerprint over that set follow (w0 long,
+    ...) and, of texts of up to ``SHORT`` distinct shingles, the shingles' hashes (short binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,14 +113,15 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             hashes = [_distinct_hashes(t.as_py() or b"", shingle) for t in texts]
-            words = [_wide_of(h) for h in hashes]
+            words = np.array([_wide_of(h) for h in hashes], np.uint64).reshape(-1, WORDS)
             short = pa.array([h.astype("<u8").tobytes() if len(h) <= SHORT else None for h in hashes], pa.binary())
-            fps = np.fromiter((w[0] for w in words), np.uint64, len(batch))
-            every = pa.array([w.astype("<u8").tobytes() for w in words], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2), every, short], ["id", "fp", "h", "w", "s"])
+            fps = np.fromiter(map(set_hash, hashes), np.uint64, len(batch))
+            every = [pa.array(np.ascontiguousarray(words[:, j]).view(np.int64)) for j in range(WORDS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2), *every, short], ["id", "fp", "h", *_WIDE, "s"])
 
-    rows = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.col(text_col)).alias("text_hash"))
-    schema = schema_of(docs, id_col, more="fp long, text_hash long" + ", wide binary, short binary" * wide)
+    rows = docs.select(col(id_col), col(text_col), F.xxhash64(col(text_col)).alias("text_hash"))
+    more = "".join(f", {w} long" for w in _WIDE) + ", short binary" if wide else ""
+    schema = schema_of(docs, id_col, more="fp long, text_hash long" + more)
     return rows.mapInArrow(run_wide if wide else run, schema)
 
 
@@ -146,66 +157,79 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits fingerprints differ; the words of one lie along the last axis."""
+    total = np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.uint16)
+    for j in range(1, a.shape[-1]):
+        total += np.bitwise_count(a[..., j] ^ b[..., j])
+    return total
+
+
 def near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
-    """Where fingerprints are within ``distance``: first the lower bound, then the exact count for what is left."""
-    hit = np.bitwise_count(unary(embedding(a)) ^ unary(embedding(b))) <= distance
+    """Where fingerprints, rows of words, are within ``distance``: first the lower bound, then the exact count for what
+    is left."""
+    hit = differing(unary(embedding(a)), unary(embedding(b))) <= distance
     if hit.any():
         where = np.flatnonzero(hit)
-        x, y = (v if v.ndim == 0 else v[where] for v in (np.asarray(a), np.asarray(b)))
-        hit[where] = np.bitwise_count(x ^ y) <= distance
+        x, y = (v if len(v) == 1 else v[where] for v in (a, b))
+        hit[where] = differing(x, y) <= distance
     return hit
 
 
-def spanning_links(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
+def spanning_links(fps: np.ndarray, words: np.ndarray, distance: int) -> Iterator[np.ndarray]:
     """Links that connect what is connected among ``fps``, by a search from pivots; each fingerprint is a pivot once
-    and looks only at those not reached yet, so a dense group costs about as many steps as it has members."""
-    links: list[tuple[int, int]] = []
-    left = np.unique(fps)
+    and looks only at those not reached yet, so a dense group costs about as many steps as it has members.  Arrays of
+    two columns."""
+    left, first = np.unique(fps, return_index=True)
+    words = words[first]
     while len(left):
-        root, left = left[0], left[1:]
-        front = [root]
+        root, front = left[0], [words[:1]]
+        left, words = left[1:], words[1:]
         while front and len(left):
-            hit = near(left, front.pop(), distance)
+            hit = near(words, front.pop(), distance)
             if hit.any():
                 reached = left[hit]
-                front.extend(reached)
-                links.extend((int(root), int(x)) for x in reached)
-                left = left[~hit]
-    return links
+                front.extend(words[hit][:, None, :])
+                yield np.stack([np.full(len(reached), root), reached], axis=1)
+                left, words = left[~hit], words[~hit]
 
 
-def nearest_links(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """For each fingerprint its nearest other within ``distance``.  What this leaves out, ``across_links`` finds."""
-    fps = np.unique(fps)
-    links: set[tuple[int, int]] = set()
+def nearest_links(fps: np.ndarray, words: np.ndarray, distance: int) -> Iterator[np.ndarray]:
+    """For each fingerprint its nearest other within ``distance``, as (a, b, gap).  What this leaves out,
+    ``across_links`` finds."""
+    fps, first = np.unique(fps, return_index=True)
+    words = words[first]
     step = max(1, PAIRS_AT_ONCE // max(1, len(fps)))
     for at in range(0, len(fps) if len(fps) > 1 else 0, step):
-        own = fps[at : at + step]
-        gap = np.bitwise_count(own[:, None] ^ fps[None, :]).astype(np.uint8)
-        gap[np.arange(len(own)), at + np.arange(len(own))] = 255
+        gap = differing(words[at : at + step, None], words[None])
+        own = np.arange(len(gap))
+        gap[own, at + own] = 65_535
         best = gap.argmin(axis=1)
-        for i in np.flatnonzero(gap[np.arange(len(own)), best] <= distance):
-            x, y = int(own[i]), int(fps[best[i]])
-            links.add((min(x, y), max(x, y)))
-    return list(links)
+        gap = gap[own, best]
+        hit = np.flatnonzero(gap <= distance)
+        if len(hit):
+            yield np.stack([fps[at + hit], fps[best[hit]], gap[hit].astype(np.uint64)], axis=1)
 
 
-def across_links(fps: np.ndarray, more: tuple[np.ndarray, ...], distance: int, least: float) -> Iterator[np.ndarray]:
+def across_links(fps: np.ndarray, words: np.ndarray, more: tuple[np.ndarray, ...], distance: int, least: float) -> Iterator[np.ndarray]:
     """All pairs of fingerprints within ``distance`` whose ``more`` (root, size, shared; see ``may_link``) lets them
-    link, as arrays of three columns; the third adds up what the two share with others."""
+    link, as (a, b, gap, what the two share with others)."""
     fps, first = np.unique(fps, return_index=True)
-    more = tuple(v[first] for v in more)
+    words, more = words[first], tuple(v[first] for v in more)
     if len(fps) < 2 or (more[0] == more[0][0]).all():
         return
     step = max(1, PAIRS_AT_ONCE // len(fps))
     for at in range(0, len(fps), step):
-        own = fps[at : at + step]
-        hit = np.bitwise_count(own[:, None] ^ fps[None, at:]) <= distance
-        hit &= may_link(tuple(v[at : at + step, None] for v in more), tuple(v[None, at:] for v in more), least)
+        hit = may_link(tuple(v[at : at + step, None] for v in more), tuple(v[None, at:] for v in more), least)
         i, j = np.nonzero(hit)
         i, j = i[j > i], j[j > i]
-        if len(i):
-            yield np.stack([own[i], fps[at + j], (more[2][at + i] + more[2][at + j]).astype(np.uint64)], axis=1)
+        for k in range(0, len(i), PAIRS_AT_ONCE):
+            x, y = at + i[k : k + PAIRS_AT_ONCE], at + j[k : k + PAIRS_AT_ONCE]
+            gap = differing(words[x], words[y])
+            close = gap <= distance
+            x, y = x[close], y[close]
+            if len(x):
+                yield np.stack([fps[x], fps[y], gap[close].astype(np.uint64), (more[2][x] + more[2][y]).astype(np.uint64)], axis=1)
 
 
 def may_link(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], least: float) -> np.ndarray:
@@ -238,29 +262,34 @@ def wide_cells(wide: np.ndarray, mask: np.ndarray, k: int) -> np.ndarray:
 def _wide(masks: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), "<u8").astype(np.uint64).reshape(-1, WORDS)
-            others = [n for n in batch.schema.names if n != "wide"]
+            wide = np.stack([batch.column(w).to_numpy().view(np.uint64) for w in _WIDE], axis=1)
             for k, mask in enumerate(masks):
                 cells = pa.array(wide_cells(wide, mask, k).view(np.int64))
-                yield pa.RecordBatch.from_arrays([cells, *(batch.column(n) for n in others)], ["cell", *others])
+                yield pa.RecordBatch.from_arrays([cells, *batch.columns], ["cell", *batch.schema.names])
 
     return run
 
 
-def _inside(fps: np.ndarray, more: tuple[np.ndarray, ...], distance: int, some) -> Iterator[np.ndarray]:
+def _inside(fps: np.ndarray, words: np.ndarray, more: tuple[np.ndarray, ...], distance: int, some) -> Iterator[np.ndarray]:
     """A run's links as arrays: those that ``some`` chooses or, if it is a similarity, all that ``may_link``."""
     if isinstance(some, float):
-        yield from across_links(fps, more, distance, some)
-    elif pairs := some(fps, distance):
-        yield np.array(pairs, np.uint64)
+        return across_links(fps, words, more, distance, some)
+    return some(fps, words, distance)
+
+
+def _parted(own: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Columns (fp, words..., more...) as fingerprints, rows of words, and the rest.  Without words fp is the word."""
+    fps = own[0].view(np.uint64)
+    words = np.stack([w.view(np.uint64) for w in own[1 : 1 + width]], axis=1) if width else fps[:, None]
+    return fps, words, own[1 + width :]
 
 
-def _sweep(distance: int, limit: int, some):
-    """Over rows (cell, fp, ...) sorted by cell: links inside each cell as (a, b, null); rows of too long runs as
-    (null, fp, cell)."""
+def _sweep(distance: int, limit: int, some, width: int):
+    """Over rows (cell, fp, ``width`` words, ...) sorted by cell: links inside each cell as (a, b, score, null); rows of
+    too long runs as (null, fp, null, cell)."""
 
-    def found(cells: np.ndarray, fps: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
-        fps = fps.view(np.uint64)
+    def found(cells: np.ndarray, *own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        fps, words, more = _parted(list(own), width)
         starts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
         sizes = np.diff(np.append(starts, len(cells)))
         short = np.repeat(sizes <= SHIFTS + 1, sizes)
@@ -268,11 +297,12 @@ def _sweep(distance: int, limit: int, some):
             i = np.flatnonzero((cells[lag:] == cells[:-lag]) & short[lag:])
             if more:
                 i = i[may_link(tuple(v[i] for v in more), tuple(v[i + lag] for v in more), some)]
-            i = i[near(fps[i], fps[i + lag], distance)] if len(i) else i
-            yield _links(fps[i], fps[i + lag], more[2][i] + more[2][i + lag] if more else 0)
+            i = i[near(words[i], words[i + lag], distance)] if len(i) else i
+            if len(i):
+                yield _links(fps[i], fps[i + lag], differing(words[i], words[i + lag]), more[2][i] + more[2][i + lag] if more else 0)
         for k in np.flatnonzero(sizes > SHIFTS + 1):
-            own = slice(starts[k], starts[k] + sizes[k])
-            for x in _inside(fps[own], tuple(v[own] for v in more), distance, some):
+            part = slice(starts[k], starts[k] + sizes[k])
+            for x in _inside(fps[part], words[part], tuple(v[part] for v in more), distance, some):
                 yield _links(*np.ascontiguousarray(x.T))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,9 +332,9 @@ def _sweep(distance: int, limit: int, some):
     return run
 
 
-def _links(a: np.ndarray, b: np.ndarray, shared: np.ndarray | int = 0) -> pa.RecordBatch:
+def _links(a: np.ndarray, b: np.ndarray, gap: np.ndarray | int = 0, shared: np.ndarray | int = 0) -> pa.RecordBatch:
     """Links with a score: more shared shingles first, then fewer differing bits."""
-    score = np.asarray(shared).astype(np.int64) * 128 + 64 - np.bitwise_count(a ^ b)
+    score = np.broadcast_to(np.asarray(shared).astype(np.int64) * 1024 - np.asarray(gap).astype(np.int64), a.shape)
     return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(score), pa.nulls(len(a), pa.int64())], ["a", "b", "score", "cell"])
 
 
@@ -323,12 +353,16 @@ def links(fps: DataFrame, *, distance: int = 4, bands: int = 7, run_limit: int =
 def _grid_join(cells: DataFrame, distance: int, run_limit: int, some, known: DataFrame | None = None) -> DataFrame:
     """Distinct links (a, b, score) within ``distance`` between fingerprints that share a cell of (cell, fp, ...).
 
-    In long cells they are those that the function ``some`` chooses.  If ``some`` is a similarity, the cells also have
-    the columns root, size and shared of ``known``, and the links are all that ``may_link`` leaves, in all cells.
+    Other columns of ``cells`` are those of ``known`` (fp, words, ...), one row for each fp; without it fp is the word.
+    In long cells the links are those that the function ``some`` chooses.  If ``some`` is a similarity, ``known`` has
+    the columns root, size and shared after the words, and the links are all that ``may_link`` leaves, in all cells.
     """
     spark = cells.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    swept = table(cells.repartition(n, "cell").sortWithinPartitions("cell", "fp").mapInArrow(_sweep(distance, run_limit, some), "a long, b long, score long, cell long"))
+    names = [] if known is None else [c for c in known.columns if c != "fp"]
+    width = sum(c in _WIDE for c in names)
+    dealt = cells.select("cell", "fp", *names).repartition(n, "cell").sortWithinPartitions("cell", "fp")
+    swept = table(dealt.mapInArrow(_sweep(distance, run_limit, some, width), "a long, b long, score long, cell long"))
     direct = swept.where("cell is null").select("a", "b", "score")
     late = swept.where("cell is not null").select("cell", F.col("b").alias("fp"))
     sizes = late.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -337,11 +371,10 @@ def _grid_join(cells: DataFrame, distance: int, run_limit: int, some, known: Dat
         dealt = late.join(sizes, "cell").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("blocks", "own", "other")
-        names = [] if known is None else ["root", "size", "shared"]
 
         def block(t: pa.Table) -> pa.Table:
-            more = tuple(t.column(c).to_numpy() for c in names)
-            found = list(_inside(t.column("fp").to_numpy().view(np.uint64), more, distance, some))
+            fps, words, more = _parted([t.column(c).to_numpy() for c in ["fp", *names]], width)
+            found = list(_inside(fps, words, tuple(more), distance, some))
             batches = [_links(*np.ascontiguousarray(x.T)) for x in found]
             return pa.Table.from_batches(batches or [_links(*np.empty((2, 0), np.uint64))]).drop_columns("cell")
 
@@ -421,34 +454,34 @@ def _similar(size: int, least: float):
     return run
 
 
-def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 18, tables: int = 150, picks: int = 12, run_limit: int = RUN_LIMIT) -> DataFrame:
+def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = DISTANCE, tables: int = 150, picks: int = 12, run_limit: int = RUN_LIMIT) -> DataFrame:
     """(id, component_id, text_hash), one row for each row of ``docs``: components of texts whose sets of word
     shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Candidates share a cell of one of ``tables`` random grids and differ in at most ``distance`` of the first 64 bits;
-    a pair of 200-word texts just at 0.8 is a candidate with probability 0.9 or so, one at 0.9 nearly always.  Texts of
-    up to ``SHORT`` distinct shingles are also candidates if they share one of their rarest shingles, which leaves out
-    none of their pairs at ``similarity``.  A candidate is verified
-    exactly on one text per fingerprint.  First each fingerprint's nearest candidates are verified, then those with
-    most shingles that other texts have too; a last pass over the grids verifies all candidates that are still in
-    different components, but for those whose counts of shingles that no other text has already show that they stay
-    under ``similarity``.  So none that could join two components is left out.  Equal fingerprints are one node
-    without further test.  Nulls as in ``near_duplicates``.
+    Texts with equal sets are one node.  Candidates share a cell of one of ``tables`` random grids and differ in at most
+    ``distance`` of 256 bits; a pair of texts just at 0.8 shares a cell with a probability over 0.9, one at 0.9 nearly
+    always.  Texts of up to ``SHORT`` distinct shingles are also candidates if they share one of their rarest shingles,
+    which leaves out none of their pairs at ``similarity``.  A candidate is verified exactly.  First each node's nearest
+    candidates are verified, then those with most shingles that other texts have too; a last pass over the grids
+    verifies all candidates that are still in different components, but for those whose counts of shingles that no
+    other text has already show that they stay under ``similarity``.  So none that could join two components is left
+    out.  Nulls, repeated rows and empty tables as in ``near_duplicates``; other columns are dropped.
     """
     found = _similar_classes(docs, id_col, text_col, shingle, similarity, distance, tables, picks, run_limit)
     return found.select(F.col("id").alias(id_col), "component_id", "text_hash")
 
 
-def _similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 18, tables: int = 150, picks: int = 12, run_limit: int = RUN_LIMIT) -> DataFrame:
+def _similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = DISTANCE, tables: int = 150, picks: int = 12, run_limit: int = RUN_LIMIT) -> DataFrame:
     """The rows of ``similar_documents`` as (id, text_hash, root, component_id, ...)."""
     rows = table(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, wide=True).withColumnRenamed(id_col, "id"))
-    prints, masks = rows.select("fp", "wide").distinct(), random_grids(tables, picks)
-    found = table(_grid_join(prints.mapInArrow(_wide(masks), "cell long, fp long"), distance, run_limit, nearest_links))
+    prints, masks = rows.select("fp", *_WIDE).distinct(), random_grids(tables, picks)
+    types = "".join(f", {w} long" for w in _WIDE)
+    found = table(_grid_join(prints.mapInArrow(_wide(masks), "cell long, fp long" + types), distance, run_limit, nearest_links, prints))
     short = table(_short_cells(rows, similarity))
     nodes = found.select(F.col("a").alias("fp")).union(found.select("b")).union(short.select("fp")).distinct()
     pick = F.min(F.struct("id", "text_hash")).alias("p")
     picked = rows.join(nodes, "fp").groupBy("fp").agg(pick).select("fp", F.col("p.id").alias("_i"), F.col("p.text_hash").alias("_h"))
-    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_hash"))
+    own = docs.select(col(id_col).alias("_id"), col(text_col).alias("_text"), F.xxhash64(col(text_col)).alias("_hash"))
     texts = own.join(cut(picked), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).groupBy("fp").agg(F.first("_text").alias("t"))
     texts = table(texts)
 
@@ -461,10 +494,11 @@ def _similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def apart(links: DataFrame) -> DataFrame:
         roots = cut(stars(links)).select(F.col("node").alias("fp"), "root")
-        known = table(sizes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "size", "shared"))
-        cells = prints.join(known, "fp").mapInArrow(_wide(masks), "cell long, fp long, root long, size long, shared long")
-        exact = short.join(known, "fp").select("cell", "fp", "root", "size", "shared")
-        every = _grid_join(cells, distance, run_limit, float(similarity), known).union(_grid_join(exact, 64, run_limit, float(similarity), known))
+        known = sizes.join(prints, "fp").join(roots, "fp", "left")
+        known = table(known.select("fp", *_WIDE, F.coalesce("root", "fp").alias("root"), "size", "shared"))
+        cells = known.mapInArrow(_wide(masks), f"cell long, fp long{types}, root long, size long, shared long")
+        exact = short.join(known, "fp")
+        every = _grid_join(cells, distance, run_limit, float(similarity), known).union(_grid_join(exact, 64 * WORDS, run_limit, float(similarity), known))
         return every.dropDuplicates(["a", "b"])
 
     tested = table(_best(found))
@@ -524,15 +558,17 @@ def _sizes(texts: DataFrame, size: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` less all but one of each near-duplicate group: the smallest (id, text hash) stays, and of
-    rows equal in both exactly one.  Columns are those of ``docs``."""
-    found = table(_similar_classes(docs, id_col, text_col, **how).select(F.col("id").alias(id_col), "text_hash", "root"))
-    best = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).alias("i"), F.col("text_hash").alias("h"))).alias("best"))
-    best = best.select(F.col("best.i").alias("_keep_id"), F.col("best.h").alias("_keep_hash"))
-    times = found.groupBy(F.col(id_col).alias("_i"), F.col("text_hash").alias("_h")).agg(F.count("*").alias("_times"))
-    best = cut(best.join(times, F.col("_keep_id").eqNullSafe(F.col("_i")) & (F.col("_keep_hash") == F.col("_h"))).select("_keep_id", "_keep_hash", "_times"))
-    keyed = docs.withColumn("_own_hash", F.xxhash64(F.col(text_col)))
-    kept = keyed.join(best, F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_own_hash") == F.col("_keep_hash")))
-    single = kept.where("_times = 1").select(*docs.columns)
-    if best.where("_times > 1").isEmpty():
+    rows equal in both exactly one.  Columns are those of ``docs``, whatever their names; groups, nulls and empty tables
+    as in ``similar_documents``."""
+    found = table(_similar_classes(docs, id_col, text_col, **how).select("id", "text_hash", "root"))
+    best = found.groupBy("root").agg(F.min(F.struct("id", "text_hash")).alias("best")).select("best.*")
+    times = found.groupBy(F.col("id").alias("i"), F.col("text_hash").alias("h")).agg(F.count("*").alias("n"))
+    [own] = fresh(docs, "_keep")
+    key = F.struct(F.col("id"), F.col("text_hash"), F.col("n"))
+    best = cut(best.join(times, F.col("id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h"))).select(key.alias(own)))
+    kept = docs.join(best, col(id_col).eqNullSafe(F.col(own)["id"]) & (F.xxhash64(col(text_col)) == F.col(own)["text_hash"]))
+    names = [col(c) for c in docs.columns]
+    single = kept.where(F.col(own)["n"] == 1).select(*names)
+    if best.where(F.col(own)["n"] > 1).isEmpty():
         return single
-    return single.union(kept.where("_times > 1").dropDuplicates(["_keep_id", "_keep_hash"]).select(*docs.columns))
+    return single.union(kept.where(F.col(own)["n"] > 1).withColumn(own, F.struct(F.col(own)["id"], F.col(own)["text_hash"])).dropDuplicates([own]).select(*names))
