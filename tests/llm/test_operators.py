@@ -386,7 +386,9 @@ def test_across_links():
     fps = np.unique(np.uint64(0x0F0F) ^ (np.uint64(1) << r.integers(0, 64, 120).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 120).astype(np.uint64)))
     n = len(fps)
     roots, size, shared = r.integers(0, 4, n), np.full(n, 100), r.integers(70, 101, n)
-    got = {(int(a), int(b)) for x in simhash.across_links(fps, fps[:, None], (roots, size, shared), 3, 0.8) for a, b, *_ in x}
+    cells, more = np.zeros(n, np.int64), (roots, size, shared)
+    found = lambda **how: {(int(a), int(b)) for x in simhash.Across(0.8, **how)(cells, fps, fps[:, None], more, 3) for a, b, *_ in x}
+    got, best = found(), found(best=True)
     want = set()
     for i in range(n):
         for j in range(i + 1, n):
@@ -394,7 +396,25 @@ def test_across_links():
             if roots[i] != roots[j] and int(fps[i] ^ fps[j]).bit_count() <= 3 and both >= 0.8 * (200 - both):
                 want.add((int(fps[i]), int(fps[j])))
     assert want and got == want
-    assert not list(simhash.across_links(fps[:0], fps[:0, None], (roots[:0], size[:0], shared[:0]), 3, 0.8))
+    assert best <= want and {x for p in best for x in p} == {x for p in want for x in p}
+    assert not list(simhash.Across(0.8)(cells[:0], fps[:0], fps[:0, None], tuple(v[:0] for v in more), 3))
+
+
+def test_across_finds_a_pair_in_its_first_grid():
+    r = np.random.default_rng(5)
+    base = r.integers(0, 2**64, simhash.WORDS, np.uint64)
+    words = np.stack([base ^ np.array([sum(1 << int(b) for b in r.choice(64, 4, replace=False)) for _ in base], np.uint64) for _ in range(30)])
+    fps, masks = np.arange(30, dtype=np.uint64), simhash.random_grids(40, 6)
+    more = (np.arange(30), np.full(30, 9), np.full(30, 9))
+    some, times, shared = simhash.Across(0.8, masks), Counter(), set()
+    for k, mask in enumerate(masks):
+        cells = simhash.wide_cells(words, mask, k).view(np.int64)
+        for c in np.unique(cells):
+            own = np.flatnonzero(cells == c)
+            shared |= set(combinations(own.tolist(), 2))
+            for x in some(cells[own], fps[own], words[own], tuple(v[own] for v in more), 64):
+                times.update((int(a), int(b)) for a, b, *_ in x)
+    assert set(times) == shared and set(times.values()) == {1}
 
 
 def test_keep_one_with_null_and_shared_ids(spark):

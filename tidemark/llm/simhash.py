@@ -33,6 +33,8 @@ SEGMENTS = 32
 WORDS = 4
 #: Bits of a wide fingerprint in which candidates may differ.  At a similarity of 0.8 the mean is 39, the deviation 6.
 DISTANCE = 64
+#: The bits of a cell that hold its grid.
+_GRID = np.uint64(0xFFFF)
 _WIDE = [f"w{j}" for j in range(WORDS)]
 _LOW = np.uint64(0x5555555555555555)
 #: Runs up to this length are compared by shifting whole arrays, longer ones by a search from pivots.
@@ -213,9 +215,8 @@ def nearest_links(fps: np.ndarray, words: np.ndarray, distance: int) -> Iterator
 
 def across_links(fps: np.ndarray, words: np.ndarray, more: tuple[np.ndarray, ...], distance: int, least: float) -> Iterator[np.ndarray]:
     """All pairs of fingerprints within ``distance`` whose ``more`` (root, size, shared; see ``may_link``) lets them
-    link, as (a, b, gap, what the two share with others)."""
-    fps, first = np.unique(fps, return_index=True)
-    words, more = words[first], tuple(v[first] for v in more)
+    link, as arrays of (place of a, place of b, gap, what the two share with others).  ``fps`` are sorted, without
+    repeats."""
     if len(fps) < 2 or (more[0] == more[0][0]).all():
         return
     step = max(1, PAIRS_AT_ONCE // len(fps))
@@ -229,7 +230,47 @@ def across_links(fps: np.ndarray, words: np.ndarray, more: tuple[np.ndarray, ...
             close = gap <= distance
             x, y = x[close], y[close]
             if len(x):
-                yield np.stack([fps[x], fps[y], gap[close].astype(np.uint64), (more[2][x] + more[2][y]).astype(np.uint64)], axis=1)
+                yield np.stack([x, y, gap[close].astype(np.int64), more[2][x] + more[2][y]], axis=1)
+
+
+class Across:
+    """Links between components: all pairs that ``may_link`` leaves or, with ``best``, in a long cell for each
+    fingerprint only that of the highest score.  A pair that shares several of the grids ``masks`` is found in the
+    first alone."""
+
+    def __init__(self, least: float, masks: list[np.ndarray] | None = None, best: bool = False):
+        self.least, self.masks, self.best = least, masks, best
+
+    def first(self, cells: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Where a cell is of the first grid in which the two fingerprints share one."""
+        out = np.ones(len(x), bool)
+        if self.masks is None or self.best:
+            return out
+        apart, grid = embedding(x) ^ embedding(y), cells.view(np.uint64) & _GRID
+        for k, mask in enumerate(self.masks[:-1]):
+            out &= (grid <= k) | (apart & mask).any(axis=1)
+        return out
+
+    def __call__(self, cells: np.ndarray, fps: np.ndarray, words: np.ndarray, more: tuple[np.ndarray, ...], distance: int) -> Iterator[np.ndarray]:
+        fps, own = np.unique(fps, return_index=True)
+        cells, words, more = cells[own], words[own], tuple(v[own] for v in more)
+        top, partner, its_gap = np.full(len(fps), -1, np.int64), np.zeros(len(fps), np.int64), np.zeros(len(fps), np.int64)
+        for found in across_links(fps, words, more, distance, self.least):
+            x, y, gap, shared = found.T
+            if self.best:
+                ends, others = np.concatenate((x, y)), np.concatenate((y, x))
+                score = np.tile(shared * 1024 + 1023 - gap, 2)
+                order = np.lexsort((score, ends))
+                last = order[np.append(ends[order][1:] != ends[order][:-1], True)]
+                last = last[score[last] > top[ends[last]]]
+                top[ends[last]], partner[ends[last]], its_gap[ends[last]] = score[last], others[last], np.tile(gap, 2)[last]
+            else:
+                keep = self.first(cells[x], words[x], words[y])
+                yield np.stack([fps[x], fps[y], gap.astype(np.uint64), shared.astype(np.uint64)], axis=1)[keep]
+        x = np.flatnonzero(top >= 0)
+        if len(x):
+            y = partner[x]
+            yield np.unique(np.stack([np.minimum(fps[x], fps[y]), np.maximum(fps[x], fps[y]), its_gap[x].astype(np.uint64), (more[2][x] + more[2][y]).astype(np.uint64)], axis=1), axis=0)
 
 
 def may_link(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], least: float) -> np.ndarray:
@@ -252,11 +293,11 @@ def _cells(masks: list[np.uint64]):
 
 
 def wide_cells(wide: np.ndarray, mask: np.ndarray, k: int) -> np.ndarray:
-    """The ``k``-th grid's cell of each wide fingerprint, a row of words."""
+    """The ``k``-th grid's cell of each wide fingerprint, a row of words; its lowest bits are ``k``."""
     cells = np.full(len(wide), (k + 1) * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
     for j in np.flatnonzero(mask):
         cells = _mix(cells + (embedding(wide[:, j]) & mask[j]))
-    return cells
+    return (cells & ~_GRID) | np.uint64(k)
 
 
 def _wide(masks: list[np.ndarray]):
@@ -270,11 +311,9 @@ def _wide(masks: list[np.ndarray]):
     return run
 
 
-def _inside(fps: np.ndarray, words: np.ndarray, more: tuple[np.ndarray, ...], distance: int, some) -> Iterator[np.ndarray]:
-    """A run's links as arrays: those that ``some`` chooses or, if it is a similarity, all that ``may_link``."""
-    if isinstance(some, float):
-        return across_links(fps, words, more, distance, some)
-    return some(fps, words, distance)
+def _inside(cells: np.ndarray, fps: np.ndarray, words: np.ndarray, more: tuple[np.ndarray, ...], distance: int, some) -> Iterator[np.ndarray]:
+    """Links of a run, which is a cell's, or of two blocks of one, as arrays."""
+    return some(cells, fps, words, more, distance) if isinstance(some, Across) else some(fps, words, distance)
 
 
 def _parted(own: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -296,13 +335,14 @@ def _sweep(distance: int, limit: int, some, width: int):
         for lag in range(1, min(SHIFTS, int(sizes.max()) - 1) + 1):
             i = np.flatnonzero((cells[lag:] == cells[:-lag]) & short[lag:])
             if more:
-                i = i[may_link(tuple(v[i] for v in more), tuple(v[i + lag] for v in more), some)]
+                i = i[may_link(tuple(v[i] for v in more), tuple(v[i + lag] for v in more), some.least)]
             i = i[near(words[i], words[i + lag], distance)] if len(i) else i
+            i = i[some.first(cells[i], words[i], words[i + lag])] if more and len(i) else i
             if len(i):
                 yield _links(fps[i], fps[i + lag], differing(words[i], words[i + lag]), more[2][i] + more[2][i + lag] if more else 0)
         for k in np.flatnonzero(sizes > SHIFTS + 1):
             part = slice(starts[k], starts[k] + sizes[k])
-            for x in _inside(fps[part], words[part], tuple(v[part] for v in more), distance, some):
+            for x in _inside(cells[part], fps[part], words[part], tuple(v[part] for v in more), distance, some):
                 yield _links(*np.ascontiguousarray(x.T))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,8 +394,8 @@ def _grid_join(cells: DataFrame, distance: int, run_limit: int, some, known: Dat
     """Distinct links (a, b, score) within ``distance`` between fingerprints that share a cell of (cell, fp, ...).
 
     Other columns of ``cells`` are those of ``known`` (fp, words, ...), one row for each fp; without it fp is the word.
-    In long cells the links are those that the function ``some`` chooses.  If ``some`` is a similarity, ``known`` has
-    the columns root, size and shared after the words, and the links are all that ``may_link`` leaves, in all cells.
+    In long cells the links are those that the function ``some`` chooses.  If ``some`` is an ``Across``, ``known`` has
+    the columns root, size and shared after the words, and in short cells too only pairs that ``may_link`` are links.
     """
     spark = cells.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -374,7 +414,7 @@ def _grid_join(cells: DataFrame, distance: int, run_limit: int, some, known: Dat
 
         def block(t: pa.Table) -> pa.Table:
             fps, words, more = _parted([t.column(c).to_numpy() for c in ["fp", *names]], width)
-            found = list(_inside(fps, words, tuple(more), distance, some))
+            found = list(_inside(t.column("cell").to_numpy(), fps, words, tuple(more), distance, some))
             batches = [_links(*np.ascontiguousarray(x.T)) for x in found]
             return pa.Table.from_batches(batches or [_links(*np.empty((2, 0), np.uint64))]).drop_columns("cell")
 
@@ -492,18 +532,18 @@ def _similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sizes = table(_sizes(texts, shingle))
     sizes = sizes.where(F.col("shared") >= similarity * F.col("size"))
 
-    def apart(links: DataFrame) -> DataFrame:
+    def apart(links: DataFrame, best: bool = False) -> DataFrame:
         roots = cut(stars(links)).select(F.col("node").alias("fp"), "root")
         known = sizes.join(prints, "fp").join(roots, "fp", "left")
         known = table(known.select("fp", *_WIDE, F.coalesce("root", "fp").alias("root"), "size", "shared"))
         cells = known.mapInArrow(_wide(masks), f"cell long, fp long{types}, root long, size long, shared long")
         exact = short.join(known, "fp")
-        every = _grid_join(cells, distance, run_limit, float(similarity), known).union(_grid_join(exact, 64 * WORDS, run_limit, float(similarity), known))
+        every = _grid_join(cells, distance, run_limit, Across(similarity, masks, best), known).union(_grid_join(exact, 64 * WORDS, run_limit, Across(similarity, best=best), known))
         return every.dropDuplicates(["a", "b"])
 
     tested = table(_best(found))
     verified = verify(tested)
-    hubs = table(_best(apart(verified)).join(tested, ["a", "b"], "left_anti"))
+    hubs = table(_best(apart(verified, best=True)).join(tested, ["a", "b"], "left_anti"))
     tested, verified = tested.union(hubs), verified.union(verify(hubs))
     verified = verified.union(verify(apart(verified).join(tested, ["a", "b"], "left_anti")))
     return _classes(rows, verified)
