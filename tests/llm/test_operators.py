@@ -112,11 +112,60 @@ def test_mixing_counts_and_rates(spark, awkward, nothing):
     large = mixing.mix(many.limit(20), weights={"rare": 1, "hot": 1}, budget=1500.0, seed=1).count()
     assert abs(large - 30_000) < 1500
     out = mixing.mix(awkward, budget=2.0, seed=3, keep_order_key=True)
-    assert out.columns == [*awkward.columns, "copy", "order_key"] and mixing.mix(nothing).count() == 0
+    assert out.columns == [*(c for c in awkward.columns if c != "copy"), "copy", "order_key"] and mixing.mix(nothing).count() == 0
     u = spark.range(3000).select(mixing.uniform(F.col("id").cast("string")).alias("u"), mixing.poisson_cdf(F.lit(2.5)).alias("c")).toPandas()
     assert abs(u.u.mean() - 0.5) < 0.02 and abs(u.c[0][-1] - 1) < 1e-12
 
 
+def test_mixing_small_weights_and_null_ids(spark, tmp_path):
+    """Neither the weights' scale nor null, shared or repeated ids cost rows, and more sources than are broadcast give
+    the same counts."""
+    rows = spark.range(2000).select(F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.col("id") % 7).alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 500 + 1000).cast("string")).alias("text"), F.when(F.col("id") % 5 == 0, "a").otherwise("b").alias("source"))
+    rows.write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    for seed in range(4):
+        one, small = (mixing.mix(rows, weights={"a": w, "b": w}, seed=seed).groupBy("source").count().collect() for w in (1.0, 1e-7))
+        assert sorted(one) == sorted(small) and abs(sum(r["count"] for r in one) - 2000) < 200
+    nulls = rows.select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"), "source")
+    assert abs(mixing.mix(nulls, seed=1).count() - 2000) < 150
+    for bad in ({"a": -1.0}, {"a": float("nan")}, {"c": 1.0}, {}):
+        with pytest.raises(ValueError):
+            mixing.mix(rows, weights=bad)
+
+
+def test_mixing_many_sources(spark, monkeypatch):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"), F.when(F.col("id") > 9, (F.col("id") % 50).cast("string")).alias("source"))
+    want = mixing.mix(rows, temperature=0.5, seed=2).groupBy("doc_id").count().collect()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10)
+    assert sorted(mixing.mix(rows, temperature=0.5, seed=2).groupBy("doc_id").count().collect()) == sorted(want)
+
+
+CLASHES = ("_side", "_key", "_copy", "_order", "_part", "copy", "order_key", "_keep", "_at", "_docs", "_runs", "_id", "_hash", "_gone", "_own", "lines_after", "_times", "_source", "a.b")
+
+
+@pytest.fixture(scope="session")
+def clashing(spark):
+    """A user's columns called like an operator's own."""
+    rows = [(i, prose(70, i % 3) + "\n" + prose(60, 99), "s", *(f"{c}{i}" for c in CLASHES)) for i in range(6)]
+    return spark.createDataFrame(rows, ["doc_id", "text", "source", *CLASHES])
+
+
+def test_clashing_names(spark, clashing, tmp_path):
+    """Input columns come out as they went in, but those that a result column replaces, and results can be written."""
+    out = {
+        "mix": mixing.mix(clashing, budget=3.0, keep_order_key=True),
+        "lines": line_dedup.drop_repeated_lines(clashing),
+        "one": simhash.keep_one(clashing),
+    }
+    for name, df in out.items():
+        df.write.parquet(f"{tmp_path}/{name}")
+        rows = spark.read.parquet(f"{tmp_path}/{name}").collect()
+        assert rows
+        for r in rows:
+            assert all(r[c] == f"{c}{r.doc_id}" for c in CLASHES if c not in ("copy", "order_key", "lines_after"))
+    assert out["one"].columns == clashing.columns and {r.doc_id for r in out["one"].collect()} == {0, 1, 2}
+
+
 # -- language model
 
 

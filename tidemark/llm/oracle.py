@@ -8,12 +8,12 @@ WITH sized AS (
 ), means AS (
     SELECT s, 1.0 * (SELECT sum(size) FROM sizes) * pow(size, 0.5) / (SELECT sum(pow(size, 0.5)) FROM sizes) / size AS mean FROM sizes
 ), hashed AS (
-    SELECT d.*, mean, (('0x' || substr(md5('42:' || doc_id || ':1'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
+    SELECT d.*, mean, (('0x' || substr(md5('42:' || doc_id || ':' || md5(coalesce(text, '')) || ':1'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
     FROM sized d JOIN means m ON d.source IS NOT DISTINCT FROM m.s
 ), counted AS (
     SELECT *, len(list_filter(range(0, 200), lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(j * ln(mean) - mean - lgamma(j + 1)))) < u)) AS n FROM hashed
 )
-SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy, md5('42:order:' || doc_id || ':' || copy) AS order_key
+SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy, md5('42:order:' || doc_id || ':' || md5(coalesce(text, '')) || ':' || copy) AS order_key
 FROM counted, unnest(range(0, n)) AS t(copy)
 """
 
