@@ -1,11 +1,13 @@
 """Removal of repeated runs of lines by winnowing, with DataFrame functions only.
 
-The documents' non-blank lines are hashed.  A window is the shortest run of lines from a line on, or back from a line,
-that holds ``min_words`` words; its minimal line hash is its fingerprint, so equal windows have equal fingerprints and
-every repeated run of at least ``min_words`` words holds one.  Positions are joined on the fingerprint and the window's
-content with the first place where it occurs, never all with all.  A match is extended both ways by the windows that
-start and that end inside the run: those forward reach every line up to the last window, those backward the rest.  The
-merged ranges are the maximal repeated runs, and every occurrence but the first goes.
+The documents' lines with a word are hashed.  A window is the shortest run of lines from a line on, or back from a line,
+that holds ``min_words`` words.  Each window selects its minimal line hash, and a position selected by several windows
+is kept once: its hash is a fingerprint, and the lines around it, as far as a window can reach, go with it.  Every
+repeated run of ``min_words`` words holds a window, and so a fingerprint at the same line of each occurrence.
+
+Fingerprints that occur once are dropped.  For the others the windows that selected them are joined with the first place
+of the same window, never all positions with all, and each match of two positions is extended both ways by comparing
+the lines before and after them.  The extended matches are the repeated runs, and every occurrence but the first goes.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, table
+from ._common import WORD, col, fresh, table
 from .quality import let
 
 MIN_WORDS = 50
@@ -30,74 +32,114 @@ def _lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), describe), lambda x: x["n"] > 0)
 
 
-def _windows(lines: Column, min_words: int) -> Column:
-    """Windows forward and backward from every line, as (first, last, fingerprint, content hashes)."""
+def _reach(rows: Column, min_words: int) -> Column:
+    """(n, size): how many words the first rows hold, up to the row that makes them ``min_words``, and how many rows."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("size"))
+    longer = lambda a, x: F.when(a["n"] >= min_words, a).otherwise(F.struct((a["n"] + x["n"]).alias("n"), (a["size"] + 1).alias("size")))
+    return F.aggregate(rows, start, longer)
 
-    def grow(part: Column) -> Column:
-        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("size"))
-        longer = lambda a, x: F.when(a["n"] >= min_words, a).otherwise(F.struct((a["n"] + x["n"]).alias("n"), (a["size"] + 1).alias("size")))
-        return F.aggregate(part, start, longer)
 
-    def window(rows: Column) -> Column:
-        return F.struct(
-            F.get(rows, F.lit(0))["k"].alias("first"),
-            F.element_at(rows, -1)["k"].alias("last"),
-            F.array_min(F.transform(rows, lambda x: x["h"])).alias("fingerprint"),
-            F.xxhash64(F.transform(rows, lambda x: x["h"])).alias("content"),
-            F.hash(F.transform(rows, lambda x: x["g"])).alias("check"),
-        )
+def _windows(lines: Column, i: Column, min_words: int, then) -> tuple[Column, Column]:
+    """``then(first, rows)`` of the windows forward and backward from the i-th of ``lines``, null where there is none.
+    A window of one line is a forward one only."""
+    part = F.slice(lines, i, F.lit(min_words))
+    forward = let(part, lambda p: let(_reach(p, min_words), lambda w: F.when(w["n"] >= min_words, then(i, F.slice(p, F.lit(1), w["size"])))))
+    start = F.greatest(F.lit(1), i - (min_words - 1))
+    back = F.slice(lines, start, i - start + 1)
+    found = lambda p, w: F.when((w["n"] >= min_words) & (w["size"] > 1), then(i - w["size"] + 1, F.slice(p, F.size(p) - w["size"] + 1, w["size"])))
+    backward = let(back, lambda p: let(_reach(F.reverse(p), min_words), lambda w: found(p, w)))
+    return forward, backward
 
-    def forward(i: Column) -> Column:
-        part = F.slice(lines, i, F.lit(min_words))
-        return let(part, lambda p: let(grow(p), lambda w: F.when(w["n"] >= min_words, window(F.slice(p, F.lit(1), w["size"])))))
 
-    def backward(i: Column) -> Column:
-        start = F.greatest(F.lit(1), i - (min_words - 1))
-        part = F.slice(lines, start, i - start + 1)
-        last = lambda p, w: F.slice(p, F.size(p) - w["size"] + 1, w["size"])
-        found = lambda p, w: F.when((w["n"] >= min_words) & (w["size"] > 1), window(last(p, w)))
-        return let(part, lambda p: let(grow(F.reverse(p)), lambda w: found(p, w)))
+def _least(first: Column, rows: Column) -> Column:
+    """The place of a window's minimal hash, the first of equal ones."""
+    hashes = F.transform(rows, lambda x: x["h"])
+    return (first - 1 + let(hashes, lambda h: F.array_position(h, F.array_min(h)))).cast("int")
 
-    both = F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.array(forward(i), backward(i)))
-    return F.filter(F.flatten(both), lambda x: x.isNotNull())
+
+def selected(lines: Column, min_words: int) -> Column:
+    """Each position that a window selects, once: its fingerprint, the lines around it and its place among them."""
+    every = F.flatten(F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.array(*_windows(lines, i, min_words, _least))))
+    places = F.array_distinct(F.filter(every, lambda x: x.isNotNull()))
+
+    def describe(p: Column) -> Column:
+        start = F.greatest(F.lit(1), p - min_words)
+        before = _reach(F.reverse(F.slice(lines, start, p - start)), min_words)["size"]
+        after = _reach(F.slice(lines, p + 1, F.lit(min_words)), min_words)["size"]
+        around = lambda b: F.struct((b + 1).alias("at"), F.slice(lines, p - b, b + 1 + after).alias("lines"))
+        return F.struct(F.get(lines, p - 1)["h"].alias("fingerprint"), let(before, around).alias("around"))
+
+    return F.transform(places, describe)
+
+
+def _matches(around: Column, min_words: int) -> Column:
+    """The windows that selected the position ``around`` lies at: first line and content, as two hashes of all lines."""
+
+    def described(at: Column):
+        def window(first: Column, rows: Column) -> Column:
+            content = F.struct(F.get(rows, F.lit(0))["k"].alias("first"), F.xxhash64(F.transform(rows, lambda x: x["h"])).alias("content"), F.hash(F.transform(rows, lambda x: x["g"])).alias("check"))
+            return F.when(_least(first, rows) == at, content)
+
+        return window
+
+    lines, at = around["lines"], around["at"]
+    every = F.flatten(F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.array(*_windows(lines, i, min_words, described(at)))))
+    return F.filter(every, lambda x: x.isNotNull())
+
+
+def _extended(own: Column, other: Column) -> Column:
+    """The first and last line of ``own``'s side of a match, extended both ways from the two positions as long as lines
+    are equal."""
+
+    def equal(a: Column, b: Column) -> Column:
+        same = F.zip_with(a, b, lambda x, y: F.coalesce((x["h"] == y["h"]) & (x["g"] == y["g"]), F.lit(False)))
+        return let(F.array_position(same, F.lit(False)), lambda n: F.when(n > 0, n - 1).otherwise(F.size(a))).cast("int")
+
+    back = lambda x: F.reverse(F.slice(x["lines"], F.lit(1), x["at"]))
+    on = lambda x: F.slice(x["lines"], x["at"], F.size(x["lines"]))
+    line = lambda k: F.get(own["lines"], k)["k"]
+    return F.struct(line(own["at"] - equal(back(own), back(other))).alias("first"), line(own["at"] - 2 + equal(on(own), on(other))).alias("last"))
 
 
 def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(_id, _hash, _gone): for each document (id and text hash) with repeated runs, the indexes of the lines in them."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_hash"), _lines(F.col(text_col)).alias("_lines"))
-    rows = rows.where(F.size("_lines") > 0)
-    found = rows.select("_id", "_hash", F.explode(_windows(F.col("_lines"), min_words)).alias("w")).select("_id", "_hash", "w.*")
-    windows = table(found)
+    """(id, hash, gone): for each document (id and text hash) with repeated runs, the indexes of the lines in them."""
+    rows = docs.select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("hash"), _lines(col(text_col)).alias("lines"))
+    rows = rows.where(F.size("lines") > 0)
+    places = table(rows.select("id", "hash", F.explode(selected(F.col("lines"), min_words)).alias("w")).select("id", "hash", "w.*"))
+    often = places.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
+    windows = places.join(often, "fingerprint", "left_semi").withColumn("w", F.explode(_matches(F.col("around"), min_words)))
+    windows = table(windows.select("id", "hash", "fingerprint", "around", "w.*"))
     key = ["fingerprint", "content", "check"]
-    place = F.struct("_id", "_hash", "first")
-    origins = table(windows.groupBy(*key).agg(F.min(place).alias("_origin"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
-    later = windows.join(origins, key).where(place > F.col("_origin"))
-    ranges = later.groupBy("_id", "_hash").agg(F.collect_set(F.struct("first", "last")).alias("_ranges"))
-    gone = F.array_distinct(F.flatten(F.transform("_ranges", lambda r: F.sequence(r["first"], r["last"]))))
-    return ranges.select("_id", "_hash", gone.alias("_gone"))
+    place = F.struct("id", "hash", "first")
+    origins = windows.groupBy(*key).agg(F.min(F.struct(place.alias("place"), F.col("around"))).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = windows.join(origins, key).where(place > F.col("origin.place"))
+    ranges = later.groupBy("id", "hash").agg(F.collect_set(_extended(F.col("around"), F.col("origin.around"))).alias("ranges"))
+    gone = F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["first"], r["last"]))))
+    return ranges.select("id", "hash", gone.alias("gone"))
 
 
 def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, report: bool = True) -> DataFrame:
     """The rows of ``docs`` with ``text_col`` less its repeated runs; with ``report`` the columns (lines_before,
-    lines_after) follow.
+    lines_after) follow; columns of ``docs`` so called are replaced by them.  Other names of columns are no matter.
 
     A line goes if it lies in a run of lines that holds at least ``min_words`` words and equals, line by line after
     trimming, a run starting at an earlier place, places being ordered by (id, text hash, line).  Blank lines don't
     count, but go if they lie inside such a run.  Rows equal in id and text are one document with the same result.
-    Null ids come first; a null text stays null and has no lines.  No row is dropped.
+    Null ids come first; a null text stays null and has no lines.  No row is dropped; an empty table gives none.
     """
+    [runs] = fresh(docs, "_runs")
     ranges = repeated_ranges(docs, id_col=id_col, text_col=text_col, min_words=min_words)
-    keyed = docs.withColumn("_own", F.xxhash64(F.col(text_col)))
-    joined = keyed.join(ranges, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
-    split = F.split(F.col(text_col), "\n")
+    ranges = ranges.select(F.struct(*ranges.columns).alias(runs))
+    text, gone = col(text_col), F.col(runs)["gone"]
+    joined = docs.join(ranges, col(id_col).eqNullSafe(F.col(runs)["id"]) & (F.xxhash64(text) == F.col(runs)["hash"]), "left")
+    split = F.split(text, "\n")
 
     def less(lines: Column) -> Column:
-        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
         return F.array_join(F.transform(left, lambda k: F.get(lines, k)), "\n")
 
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(let(split, less))
-    before = F.coalesce(F.size(split), F.lit(0)).cast("long")
-    before = F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(before)
-    counts = [before.alias("lines_before"), (before - F.coalesce(F.size("_gone"), F.lit(0))).alias("lines_after")] if report else []
-    kept = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return joined.select(*kept, *[F.when(F.col("_gone").isNull(), before).otherwise(c).alias(n) if n == "lines_after" else c.alias(n) for c, n in zip(counts, ("lines_before", "lines_after"), strict=False)])
+    cleaned = F.when(gone.isNull(), text).otherwise(let(split, less))
+    before = F.when(text.isNull(), 0).otherwise(F.size(split)).cast("long")
+    counts = [before.alias("lines_before"), (before - F.coalesce(F.size(gone), F.lit(0))).alias("lines_after")] if report else []
+    names = [c for c in docs.columns if not (report and c.lower() in ("lines_before", "lines_after"))]
+    return joined.select(*[cleaned.alias(c) if c == text_col else col(c) for c in names], *counts)
