@@ -1,12 +1,12 @@
 """Removal of repeated runs of lines by winnowing, with DataFrame functions only.
 
-The documents' lines with a word are hashed.  A window is the shortest run of lines from a line on, or back from a line,
-that holds ``min_words`` words.  Each window selects its minimal line hash, and a position selected by several windows
-is kept once: its hash is a fingerprint, and the lines around it, as far as a window can reach, go with it.  Every
-repeated run of ``min_words`` words holds a window, and so a fingerprint at the same line of each occurrence.
+The documents' lines with a word are hashed.  A window is the shortest run of lines from a line on that holds
+``min_words`` words.  Each window selects its minimal line hash, and a position selected by several windows is kept
+once: its hash is a fingerprint, and the lines around it, as far as a window can reach, go with it.  Every repeated run
+of ``min_words`` words holds a window, and so a fingerprint at the same line of each occurrence.
 
-Fingerprints that occur once are dropped.  For the others the windows that selected them are joined with the first place
-of the same window, never all positions with all, and each match of two positions is extended both ways by comparing
+Fingerprints that occur once are dropped.  For the others the runs that begin with a window that selected them are joined
+with the first place of the same run, never all positions with all, and each match of two positions is extended both ways by comparing
 the lines before and after them.  The extended matches are the repeated runs, and every occurrence but the first goes.
 """
 
@@ -39,28 +39,17 @@ def _reach(rows: Column, min_words: int) -> Column:
     return F.aggregate(rows, start, longer)
 
 
-def _windows(lines: Column, i: Column, min_words: int, then) -> tuple[Column, Column]:
-    """``then(first, rows)`` of the windows forward and backward from the i-th of ``lines``, null where there is none.
-    A window of one line is a forward one only."""
-    part = F.slice(lines, i, F.lit(min_words))
-    forward = let(part, lambda p: let(_reach(p, min_words), lambda w: F.when(w["n"] >= min_words, then(i, F.slice(p, F.lit(1), w["size"])))))
-    start = F.greatest(F.lit(1), i - (min_words - 1))
-    back = F.slice(lines, start, i - start + 1)
-    found = lambda p, w: F.when((w["n"] >= min_words) & (w["size"] > 1), then(i - w["size"] + 1, F.slice(p, F.size(p) - w["size"] + 1, w["size"])))
-    backward = let(back, lambda p: let(_reach(F.reverse(p), min_words), lambda w: found(p, w)))
-    return forward, backward
-
-
-def _least(first: Column, rows: Column) -> Column:
-    """The place of a window's minimal hash, the first of equal ones."""
-    hashes = F.transform(rows, lambda x: x["h"])
-    return (first - 1 + let(hashes, lambda h: F.array_position(h, F.array_min(h)))).cast("int")
+def _least(rows: Column) -> Column:
+    """The place among ``rows`` of the minimal hash, the first of equal ones."""
+    return let(F.transform(rows, lambda x: x["h"]), lambda h: F.array_position(h, F.array_min(h))).cast("int")
 
 
 def selected(lines: Column, min_words: int) -> Column:
     """Each position that a window selects, once: its fingerprint, the lines around it and its place among them."""
-    every = F.flatten(F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.array(*_windows(lines, i, min_words, _least))))
-    places = F.array_distinct(F.filter(every, lambda x: x.isNotNull()))
+
+    def choose(i: Column) -> Column:
+        window = lambda p, w: F.when(w["n"] >= min_words, i - 1 + _least(F.slice(p, F.lit(1), w["size"])))
+        return let(F.slice(lines, i, F.lit(min_words)), lambda p: let(_reach(p, min_words), lambda w: window(p, w)))
 
     def describe(p: Column) -> Column:
         start = F.greatest(F.lit(1), p - min_words)
@@ -69,22 +58,28 @@ def selected(lines: Column, min_words: int) -> Column:
         around = lambda b: F.struct((b + 1).alias("at"), F.slice(lines, p - b, b + 1 + after).alias("lines"))
         return F.struct(F.get(lines, p - 1)["h"].alias("fingerprint"), let(before, around).alias("around"))
 
-    return F.transform(places, describe)
+    places = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(lines)), choose))
+    return F.transform(F.filter(places, lambda x: x.isNotNull()), describe)
 
 
 def _matches(around: Column, min_words: int) -> Column:
-    """The windows that selected the position ``around`` lies at: first line and content, as two hashes of all lines."""
+    """The windows that selected the position ``around`` lies at, and what begins with such a window and is the shortest
+    run of ``min_words`` words back from its own last line: first line and content, as two hashes of all lines."""
+    lines, at = around["lines"], around["at"]
 
-    def described(at: Column):
-        def window(first: Column, rows: Column) -> Column:
-            content = F.struct(F.get(rows, F.lit(0))["k"].alias("first"), F.xxhash64(F.transform(rows, lambda x: x["h"])).alias("content"), F.hash(F.transform(rows, lambda x: x["g"])).alias("check"))
-            return F.when(_least(first, rows) == at, content)
+    def content(rows: Column) -> Column:
+        return F.struct(F.get(rows, F.lit(0))["k"].alias("first"), F.xxhash64(F.transform(rows, lambda x: x["h"])).alias("content"), F.hash(F.transform(rows, lambda x: x["g"])).alias("check"))
 
-        return window
+    def runs(p: Column, size: Column) -> Column:
+        rest = _reach(F.slice(p, F.lit(2), F.size(p)), min_words)
+        longest = let(rest, lambda r: F.greatest(size, r["size"] + F.when(r["n"] >= min_words, 0).otherwise(1)))
+        return F.transform(F.sequence(size, longest), lambda n: content(F.slice(p, F.lit(1), n)))
 
-    lines, at = around["lines"], around["at"]
-    every = F.flatten(F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.array(*_windows(lines, i, min_words, described(at)))))
-    return F.filter(every, lambda x: x.isNotNull())
+    def begin(i: Column) -> Column:
+        chosen = lambda p, w: (w["n"] >= min_words) & (i - 1 + _least(F.slice(p, F.lit(1), w["size"])) == at)
+        return let(F.slice(lines, i, F.size(lines)), lambda p: let(_reach(p, min_words), lambda w: F.when(chosen(p, w), runs(p, w["size"]))))
+
+    return F.flatten(F.filter(F.transform(F.sequence(F.lit(1), at), begin), lambda x: x.isNotNull()))
 
 
 def _extended(own: Column, other: Column) -> Column:
