@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import zlib
 from collections import Counter
@@ -10,6 +11,7 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 import xxhash
 from conftest import SMALL, same
 from pyspark.sql import functions as F
@@ -287,16 +289,38 @@ def test_line_dedup(spark, awkward, nothing):
 # -- token counts
 
 
-def test_token_counts(spark, awkward, nothing):
-    path = WORD
-    tok = Tokenizer.from_file(path)
-    for r in token_counts.count_tokens(awkward, path, limit=5).collect():
-        t = next((t for i, t in texts(awkward) if i == r.doc_id), "")
-        n = len(tok.encode(t, add_special_tokens=False).ids)
-        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n, n > 5)
+ODD = ["It's Don't we'LL \u2019s", "a1b22 ,'s x,'S 9.5%", "Stra\u00dfe e\u0301 \u00e9 \u0130stanbul \u03a3\u03a3", "x<|endoftext|>y <|startoftext|> <|END", "a\x1cb\x85c\u3000d\x7f", "tab\tand\x0bmore  spaces   ", "7" * 3000, " lead"]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_token_counts(spark, awkward, nothing, name):
+    """Each file's counts are its library's, over the documents, awkward rows and odd texts, in blocks of any size."""
+    path = public_tokenizers.path(name)
+    if name.endswith(".model"):
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        count = lambda t: len(model.encode(t))
+    else:
+        tok = Tokenizer.from_file(path)
+        count = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    r = random.Random(2)
+    odd = ODD + ["".join(r.choice("ab 's\n\t\x1c\x85\u00e9e\u03011,.!<|endoftext|>TL") for _ in range(r.randrange(60))) for _ in range(300)]
+    rows = texts(awkward) + [(100 + i, t) for i, t in enumerate(odd)] + [(1000 + i, t) for i, t in texts(docs(spark))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted((i or -1, len(t.encode()), count(t), count(t) > 50) for i, t in rows)
+    for size in (3000, 10**9):
+        got = token_counts.count_tokens(table, path, limit=50, block_bytes=size).collect()
+        assert sorted((x.doc_id or -1, x.n_bytes, x.n_tokens, x.over_limit) for x in got) == want
     assert token_counts.count_tokens(nothing, path).count() == 0
 
 
+def test_token_counts_reads_the_file(tmp_path):
+    """A file of another form isn't parted."""
+    spec = json.load(open(WORD))
+    spec["normalizer"] = None
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    assert token_counts.parting(str(tmp_path / "other.json")) is None and token_counts.parting(WORD) is not None
+
+
 # -- SimHash
 
 

@@ -1,73 +1,197 @@
 """Token counts without token ids.
 
-The unit of counting is the pre-token: a run of characters between ASCII white space.  The tokenizer never joins
-characters across white space, so a text's count is the sum over its pre-tokens.  Each document becomes a small table
-of pre-token frequencies; each distinct pre-token is encoded once and its number of pieces kept in a bounded table;
-the two are joined on the pre-token and summed, all inside the task that reads the document, so nothing is shuffled.
+A pre-token is a part of a text that the tokenizer encodes by itself.  One pass over the documents makes, for each block
+of them, a vocabulary of its words with their pre-tokens, and for each document the frequencies of the block's words.
+The distinct pre-tokens of all blocks are encoded once each and only their numbers of pieces are kept; these are joined
+to the vocabularies, and each block's documents add up frequency times pieces.  What is shuffled is the vocabularies and
+the frequencies, never texts or ids.
+
+What may be parted is read from the tokenizer's file.  Where the file is of no known form, whole texts are encoded.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ._common import schema_of
+from ._common import col, schema_of, table
+from .packing import _BREAK
 
-#: Distinct pre-tokens whose counts a Python worker keeps; beyond it the table starts anew, which costs time only.
-KEPT = 400_000
-GROUP = 200
+#: Bytes of text after which a block of documents ends; its vocabulary is held in memory.
+BLOCK = 32_000_000
+#: Texts that the library encodes in one call.
+GROUP = 8_192
+# The pattern of a tokenizer file that parts texts into words and drops white space, and what it finds in
+# lower-case ASCII.
+WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+ASCII_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_PLAIN = re.compile(r"[\x21-\x7e]+")
 
 
-def piece_counter(path: str) -> Callable[[list[bytes]], list[int]]:
+def piece_counter(path: str) -> Callable[[list[str]], list[int]]:
     """The number of pieces of each text, by the library that the file is for; special strings as its default."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda texts: [len(x) for x in model.encode([t.decode() for t in texts], num_threads=1)]
+        return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
     encode = getattr(tok, "encode_batch_fast", tok.encode_batch)
-    return lambda texts: [len(x) for x in encode([t.decode() for t in texts], add_special_tokens=False)]
+    return lambda texts: [len(x) for x in encode(texts, add_special_tokens=False)]
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit) for every row of ``docs``, over whole texts.
+def parting(path: str) -> tuple[Callable[[str], list[str]], Callable[[str], list[str]]] | None:
+    """How the tokenizer of a file lets texts be parted: a text into words, and a word into pre-tokens; None: not at all.
 
-    A null text counts as empty: 0 bytes, 0 tokens.  Null ids, repeated rows and extra columns are no matter.  A
-    sentencepiece model doesn't drop white space, so with one the pre-token is the whole text.
+    A file that drops white space (the pattern ``WORDS``) parts at white space, since nothing is joined across it; words
+    of printable ASCII without added tokens are parted by the pattern itself, others stay whole, as what Unicode
+    normalisation makes of them is up to the library.  Byte-level BPE parts before a space that follows a non-space.
+    A text with an added token's string stays whole in byte-level BPE.
     """
-    whole = tokenizer_path.endswith(".model")
+    if path.endswith(".model"):
+        return None
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre, norm, model = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}, spec["model"]
+    if model.get("type") != "BPE" or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    added = [x["content"] for x in spec["added_tokens"]]
+    if any(x.get(k) for x in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")) or any(re.search(r"\s", x) for x in added):
+        return None
+    if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
+        whole = re.compile("|".join(map(re.escape, added))).search if added else lambda t: None
+        return (lambda t: [t] if whole(t) else _BREAK.split(t)), (lambda w: [w])
+    first, *rest = pre.get("pretokenizers") or [{}]
+    steps = norm.get("normalizers") or []
+    dropped = first.get("type") == "Split" and first.get("pattern") == {"Regex": WORDS} and first.get("behavior") == "Removed" and first.get("invert")
+    plain = [x.get("type") for x in steps] == ["NFC", "Replace", "Lowercase"] and (steps[1].get("pattern"), steps[1].get("content")) == ({"Regex": "\\s+"}, " ")
+    if not (dropped and plain and [x.get("type") for x in rest] == ["ByteLevel"] and not rest[0].get("use_regex") and not rest[0].get("add_prefix_space")):
+        return None
+
+    def parts(word: str) -> list[str]:
+        if not _PLAIN.fullmatch(word) or any(x in word for x in added):
+            return [word]
+        return ASCII_WORDS.findall(word.lower())
+
+    return (lambda t: [w.decode() for w in t.encode().split()]), parts
+
+
+def _codes(values: list[int]) -> bytes:
+    """Integers in as few bytes each as the largest needs: 1, 2 or 4."""
+    x = np.array(values, np.uint32)
+    top = int(x.max(initial=0))
+    return x.astype("<u1" if top < 256 else "<u2" if top < 65_536 else "<u4").tobytes()
+
+
+def _values(codes: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(codes, f"<u{len(codes) // n}") if n else np.zeros(0, np.uint8)
+
+
+def _blocks(path: str, block_bytes: int):
+    """For each document (block, id, n_bytes, n, which, often): its ``n`` distinct words and how often each occurs; for
+    each pre-token of a block's word (block, word, unit, times)."""
+    names = ["id", "block", "n_bytes", "n", "which", "often", "word", "unit", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = piece_counter(tokenizer_path)
-        kept: dict[bytes, int] = {}
+        split, parts = parting(path)
+        block, filled = TaskContext.get().partitionId() << 33, 0
+        words: dict[str, int] = {}
+
+        def vocabulary() -> Iterator[pa.RecordBatch]:
+            rows = [(k, u, n) for w, k in words.items() for u, n in Counter(parts(w)).items()]
+            for at in range(0, len(rows), 50_000):
+                some = rows[at : at + 50_000]
+                k, u, n = zip(*some, strict=True)
+                none = lambda t: pa.nulls(len(some), t)
+                yield pa.RecordBatch.from_arrays([none(kind), pa.array([block] * len(some), pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.binary()), none(pa.binary()), pa.array(k, pa.int32()), pa.array(u, pa.string()), pa.array(n, pa.int32())], names)
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            rows: list[tuple] = []
+            start = 0
+            for i, value in enumerate(batch.column(1)):
+                text = value.as_py() or ""
+                counts = Counter(split(text))
+                which = [words.setdefault(w, len(words)) for w in counts]
+                size = len(text.encode())
+                rows.append((block, size, len(which), _codes(which), _codes(list(counts.values()))))
+                filled += size
+                if filled >= block_bytes or i == len(batch) - 1:
+                    b, size, n, which, often = zip(*rows, strict=True)
+                    none = lambda t: pa.nulls(len(rows), t)  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(rows)), pa.array(b, pa.int64()), pa.array(size, pa.int64()), pa.array(n, pa.int32()), pa.array(which, pa.binary()), pa.array(often, pa.binary()), none(pa.int32()), none(pa.string()), none(pa.int32())], names)
+                    rows, start = [], i + 1
+                if filled >= block_bytes:
+                    yield from vocabulary()
+                    words.clear()
+                    block, filled = block + 1, 0
+        if words:
+            yield from vocabulary()
+
+    return run
+
+
+def _counted(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = piece_counter(path)
         for batch in batches:
             for at in range(0, len(batch), GROUP):
                 part = batch.slice(at, GROUP)
-                texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
-                if whole:
-                    tokens = count(texts)
-                else:
-                    tables = [Counter(t.split()) for t in texts]
-                    new = list(set().union(*tables).difference(kept))
-                    if len(kept) + len(new) > KEPT:
-                        kept.clear()
-                        new = list(set().union(*tables))
-                    for i in range(0, len(new), 8192):
-                        kept.update(zip(new[i : i + 8192], count(new[i : i + 8192]), strict=True))
-                    tokens = [sum(n * kept[w] for w, n in t.items()) for t in tables]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens])],
-                    ["id", "n_bytes", "n_tokens", "over_limit"],
-                )
-
-    return docs.select(id_col, text_col).mapInArrow(run, schema_of(docs, id_col, more="n_bytes long, n_tokens long, over_limit boolean"))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count(part.column(0).to_pylist()), pa.int64())], ["unit", "pieces"])
+
+    return run
+
+
+def _whole(path: str, limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = piece_counter(path)
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                part = batch.slice(at, 200)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                tokens = count(texts)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], ["id", "n_bytes", "n_tokens", "over_limit"])
+
+    return run
+
+
+def count_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, block_bytes: int = BLOCK) -> DataFrame:
+    """(id, n_bytes, n_tokens, over_limit) for every row of ``docs``, over whole texts.
+
+    A null text counts as empty: 0 bytes, 0 tokens.  Null ids and repeated rows keep their rows, extra columns are
+    dropped whatever their names, an empty table gives an empty result.  With a tokenizer file whose texts can't be
+    parted (see ``parting``), such as a sentencepiece model, each text is encoded as a whole.
+    """
+    rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
+    result = schema_of(rows, "id", more="n_bytes long, n_tokens long, over_limit boolean")
+    if parting(tokenizer_path) is None:
+        return rows.mapInArrow(_whole(tokenizer_path, limit), result).withColumnRenamed("id", id_col)
+    more = "block long, n_bytes long, n int, which binary, often binary, word int, unit string, times int"
+    found = table(rows.mapInArrow(_blocks(tokenizer_path, block_bytes), schema_of(rows, "id", more=more)))
+    units = found.where("unit is not null").select("block", "word", "unit", "times")
+    pieces = table(units.select("unit").distinct().mapInArrow(_counted(tokenizer_path), "unit string, pieces long"))
+    worth = units.join(pieces, "unit").groupBy("block", "word").agg(F.sum(F.col("times") * F.col("pieces")).alias("pieces"))
+    own = found.where("unit is null").select(F.col("block").alias("own_block"), "id", "n_bytes", "n", "which", "often")
+
+    def total(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        value = np.zeros(len(theirs) and int(theirs["word"].to_numpy().max()) + 1, np.int64)
+        value[theirs["word"].to_numpy()] = theirs["pieces"].to_numpy()
+        each = zip(mine["n"].to_pylist(), mine["which"].to_pylist(), mine["often"].to_pylist(), strict=True)
+        tokens = np.array([value[_values(w, n)] @ _values(o, n).astype(np.int64) if n else 0 for n, w, o in each], np.int64)
+        return pa.table([mine["id"], mine["n_bytes"], pa.array(tokens), pa.array(tokens > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
+
+    return own.groupBy("own_block").cogroup(worth.groupBy("block")).applyInArrow(total, result).withColumnRenamed("id", id_col)
