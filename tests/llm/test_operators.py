@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -228,6 +229,42 @@ def test_normalisers_of_all_contexts():
         assert np.allclose(m.normalisers(), m.normaliser(before, two), rtol=1e-4, atol=1e-3)
 
 
+def _captured(monkeypatch, module, name):
+    kept, real = [], getattr(module, name)
+
+    def run(*args, **how):
+        kept.append((args, real(*args, **how)))
+        return kept[-1][1]
+
+    monkeypatch.setattr(module, name, run)
+    return kept
+
+
+def test_language_model_scores_by_hand(spark, monkeypatch):
+    """``score`` against loops over each text's words and all classes, in double precision."""
+    kept = _captured(monkeypatch, lm_scoring, "train")
+    rows = texts(docs(spark))[:40] + [(None, "No id"), (900, None), (900, "the The tHe"), (901, "Zebra zebra")]
+    got = Counter()
+    for r in lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), top=150, own=50, endings=20).collect():
+        got[r.doc_id, r.n_tokens] = r.score
+    (_, v), (m, _) = kept[0]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    words = [(i, [*(t or "").encode().lower().split(), b""]) for i, t in rows]
+    c = Counter(w for i, ws in words if not held(i) for w in ws)
+    r, t, bias = (x.astype(float) for x in (m.r, m.t, m.bias))
+    for i, ws in words:
+        before = two = v.start
+        total = 0.0
+        for w in ws:
+            k = int(v.classes[v.words.index(w)]) if w in v.words else v.endings.get(w[-2:], v.other)
+            z = (m.first * r[before] + m.second * r[two]) @ t.T + bias
+            total += np.log10(np.exp(z[k]) / np.exp(z).sum())
+            if v.share[k] > 0:
+                total += np.log10((c[w] + 1) / 10 ** v.share[k])
+            before, two = k, before
+        assert abs(got[i, len(ws)] - total) < 1e-4 * len(ws)
+
+
 # -- language identification
 
 
@@ -240,6 +277,27 @@ def test_language_id(spark, awkward, nothing):
     assert language_id.identify(nothing).count() == 0
 
 
+def test_language_id_scores_by_hand(spark, monkeypatch):
+    """Prediction and score against the model's sums over dictionaries of grams; a text with over 65,535 of one gram is
+    learned and scored by the same counts."""
+    kept = _captured(monkeypatch, language_id, "train")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs(spark).collect()] + [(5000 + i, "a " * 70_000 + "zwei" * i, "de") for i in range(3)]
+    out = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    m = kept[0][1]
+    assert len(out) == len(rows)
+    for x, (i, t, _) in zip(sorted(out, key=lambda x: x.doc_id), sorted(rows, key=lambda x: x[0]), strict=True):
+        if not language_id.has_letter(t):
+            assert (x.lang_pred, x.score) == ("und", 0.0)
+            continue
+        grams = Counter(int(b) for b in language_id.buckets(t))
+        weight = {b: np.log(1 + n) * float(m.idf[b]) for b, n in grams.items()}
+        norm = sum(w * w for w in weight.values()) ** 0.5
+        z = [(sum(w / norm * float(m.weights[b, k]) for b, w in weight.items()) + m.bias[k]) / m.temperature for k in range(len(m.languages))]
+        p = np.exp(np.array(z) - max(z))
+        p /= p.sum()
+        assert x.lang_pred == m.languages[int(p.argmax())] and abs(x.score - p.max()) < 1e-5
+
+
 def test_language_id_finds_rare_languages(spark):
     """A language with one text in 600 is learned and predicted, also where the sample is small or ids are null."""
     r = random.Random(6)
@@ -574,7 +632,38 @@ def test_toxicity(spark, awkward, nothing):
     assert toxicity.score(awkward, model).count() == awkward.count()
     kept = toxicity.drop_toxic(awkward, model)
     assert kept.columns == awkward.columns and toxicity.score(nothing, model).count() == 0
-    assert toxicity.train(nothing, labels).weights == {}
+    assert toxicity.train(nothing, labels).weights == {} and toxicity.train(awkward, labels.where("toxic = 0")).weights == {}
+    rows = texts(awkward)
+    assert len(rows) > len(dict(rows))  # repeated rows score alike
+    for x in toxicity.score(awkward, model).collect():
+        t = next(t for i, t in rows if i == x.doc_id)
+        words, total = set(re.findall(r"[^\W\d_]+", t.lower())), 0.0
+        for w in sorted(words):
+            for key in ("=" + w, *(w[:n] for n in range(3, 8) if len(w) >= n)):
+                total += model.weights.get(zlib.crc32(key.encode()) % 2**20, 0.0)
+        want = 1 / (1 + np.exp(-(model.bias + total / max(1, len(words)) ** 0.5)))
+        assert abs(x.score - want) < 1e-9 and x.predicted == (want >= 0.3) and x.held_out == (zlib.crc32(("" if x.doc_id is None else str(x.doc_id)).encode()) % 4 == 2)
+
+
+def test_label_model_over_a_table(spark):
+    """Votes on all documents, counted and summed over a table, give the label model of the same votes in memory, and
+    a document without a label changes it."""
+    r = random.Random(3)
+    words = [f"{a}{b}x" for a in "abcdefgh" for b in "aeiou"]
+    rows = [" ".join(r.sample(words, 12) + (["vile", "scum"] if i % 9 == 0 else []) + ["WHAT!!"] * (i % 5 == 0)) for i in range(400)]
+    lexicon = np.array([zlib.crc32(x) % 2**20 for x in (b"=vile", b"=scum", b"aax")])
+    naive = []
+    for t in rows:
+        w = t.lower().split()
+        own = ["vile" in w, "scum" in w, "aax" in w]
+        naive.append([*own, *toxicity.pattern_votes(t, len(toxicity.words_of(t))), not any(own)])
+    want = toxicity.fit_labels(np.array(naive, float), 0.1, 3)
+    got = toxicity.label_model(spark.createDataFrame([(t,) for t in rows], "text string").repartition(3), lexicon, 0.1)
+    assert np.allclose(got.fires, want.fires) and np.allclose(got.discount, want.discount)
+    q = want.posterior(np.array(naive, float))
+    assert q[::9].min() > 3 * np.median(np.delete(q, np.arange(0, 400, 9)))
+    more = toxicity.label_model(spark.createDataFrame([(t,) for t in [*rows, *["vile"] * 300]], "text string"), lexicon, 0.1)
+    assert not np.allclose(more.fires, want.fires)
 
 
 def test_label_model_finds_good_voters():
@@ -583,7 +672,7 @@ def test_label_model_finds_good_voters():
     good = (y[:, None] & (r.random((2000, 4)) < 0.7)) | (r.random((2000, 4)) < 0.02)
     copies = np.repeat(r.random((2000, 1)) < 0.3, 5, axis=1)
     votes = np.concatenate((good, copies), axis=1).astype(float)
-    model = toxicity.fit_labels(votes, 0.1 + 0.8 * good[:, 0], 0.2)
+    model = toxicity.fit_labels(votes, 0.2, 4)
     assert ((model.posterior(votes) > 0.5) == y).mean() > 0.95 and model.discount[4:].max() < 0.3 < model.discount[:4].min()
 
 

@@ -79,7 +79,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def id_remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
-    text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    text = F.coalesce(col(id_col).cast("string"), F.lit(""))
     return F.pmod(F.crc32(text.cast("binary")), F.lit(modulus)).cast("int")
 
 

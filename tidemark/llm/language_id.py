@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_remainder, schema_of, ship, shipped, table
+from ._common import col, id_remainder, schema_of, ship, shipped, table
 
 BUCKETS = 2**15
 #: Labelled texts that the regression is fitted on, at most (in expectation), dealt equally to the languages; a
@@ -127,7 +127,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs += 1
             if chosen:
                 langs.append(lang)
-                data.append(np.concatenate((at, np.minimum(n, 65_535))).astype("<u2").tobytes())
+                data.append(np.concatenate((at, n)).astype("<u4").tobytes())
         yield _learned(pa.nulls(len(langs), pa.int32()), pa.nulls(len(langs), pa.int64()), pa.array(langs, pa.string()), pa.array(data, pa.binary()))
     at = np.flatnonzero(df)
     where, values = np.append(at, -1).astype(np.int32), np.append(df[at], docs)
@@ -140,23 +140,26 @@ def _learned(*columns: pa.Array) -> pa.RecordBatch:
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 3, held: int = 1, fit_docs: int = FIT_DOCS) -> Model | None:
     """A model from the rows whose crc32(id as text) mod ``modulus`` isn't ``held``; None without labelled texts."""
-    rows = docs.where((id_remainder(id_col, modulus) != held) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = dict(rows.groupBy(lang_col).count().collect())  # a row per language
+    names = {"id": id_col, "text": text_col, "lang": lang_col}
+    rows = docs.select(*[col(c).alias(n) for n, c in names.items()])
+    rows = rows.where((id_remainder("id", modulus) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = dict(rows.groupBy("lang").count().collect())  # a row per language
     each = max(FIT_EACH, fit_docs // max(1, len(sizes)))
     large = {y: int(1e9 * each / n) for y, n in sizes.items() if n > each}
     rate = F.lit(1_000_000_000)
     if large:
-        rate = F.coalesce(F.create_map(*(F.lit(x) for pair in large.items() for x in pair))[F.col(lang_col)], rate)
-    chosen = F.pmod(F.xxhash64(F.lit("fit"), id_col, text_col), F.lit(1_000_000_000)) < rate
-    learned = table(rows.select(text_col, lang_col, chosen).mapInArrow(_learn, "bucket int, df long, lang string, data binary"))
+        rate = F.coalesce(F.create_map(*(F.lit(x) for pair in large.items() for x in pair))[F.col("lang")], rate)
+    chosen = F.pmod(F.xxhash64(F.lit("fit"), "id", "text"), F.lit(1_000_000_000)) < rate
+    learned = table(rows.select("text", "lang", chosen).mapInArrow(_learn, "bucket int, df long, lang string, data binary"))
     df = dict(learned.where("bucket is not null").groupBy("bucket").agg(F.sum("df")).collect())  # a row per bucket
     total = df.pop(-1, 0)
     found = np.zeros(BUCKETS)
     found[list(df)] = list(df.values())
     idf = np.log((1 + total) / (1 + found)) + 1
     examples = []
-    for lang, data in learned.where("data is not null").select("lang", "data").collect():
-        pair = np.frombuffer(data, "<u2").astype(np.int64).reshape(2, -1)
+    most = 2 * (fit_docs + FIT_EACH * len(sizes))  # repeated rows are chosen together, so a hash alone bounds nothing
+    for lang, data in learned.where("data is not null").select("lang", "data").orderBy(F.xxhash64("data"), "lang").limit(most).collect():
+        pair = np.frombuffer(data, "<u4").astype(np.int64).reshape(2, -1)
         examples.append((pair[0], pair[1], lang))
     examples.sort(key=lambda e: (e[2], len(e[0]), e[1].tobytes()))
     return fit(examples, idf, sizes)
@@ -187,5 +190,5 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 scores.append(float(p[best]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "held_out", "lang_pred", "score"])
 
-    rows = docs.select(id_col, (id_remainder(id_col, modulus) == held).alias("held_out"), text_col)
+    rows = docs.select(col(id_col), (id_remainder(id_col, modulus) == held).alias("held_out"), col(text_col))
     return rows.mapInArrow(run, schema_of(docs, id_col, more="held_out boolean, lang_pred string, score double"))

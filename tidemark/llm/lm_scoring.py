@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_remainder, schema_of, ship, shipped, table
+from ._common import col, id_remainder, schema_of, ship, shipped, table
 
 #: Words whose counts are broadcast.
 TOP = 2**18
@@ -310,7 +310,8 @@ def train(training: DataFrame, v: Vocabulary, *, text_col: str, start: DataFrame
     ``training``) give it its start; then each partition makes a pass over every position it has from there, and the
     partitions' parameters are averaged by their numbers of positions."""
     spark = training.sparkSession
-    sample = start.select(text_col).mapInArrow(_sampled(ship(spark, v), FIT_POSITIONS), "rows binary").collect()
+    sample = start.select(text_col).mapInArrow(_sampled(ship(spark, v), FIT_POSITIONS), "rows binary")
+    sample = sample.orderBy(F.xxhash64("rows")).limit(2 * FIT_DOCS).collect()  # repeated rows are chosen together
     found = np.concatenate([np.zeros((0, 3), np.int32), *(np.frombuffer(r[0], "<i4").reshape(-1, 3) for r in sample)])
     rng = np.random.default_rng(seed)
     p, past = blank(v.noise, DIM, rng)
@@ -381,12 +382,12 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     occur, every position of them; extra columns are dropped.  With no training rows every base probability is 1, and the model has one class.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), (id_remainder(id_col, modulus) == held).alias("held_out"))
+    rows = docs.select(col(id_col).alias("_id"), col(text_col).alias("_text"), (id_remainder(id_col, modulus) == held).alias("held_out"))
     training = rows.where("not held_out")
     counts = table(count_words(training, text_col="_text"))
     v = vocabulary(counts, top=top, own=own_classes(counts.count(), own), endings=endings)
     n = training.select("_id").count()
-    chosen = F.pmod(F.xxhash64(F.lit("fit"), "_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, fit_docs / max(1, n)))
+    chosen = F.pmod(F.xxhash64(F.lit("fit"), "_id", "_text"), F.lit(1_000_000)) < int(1e6 * min(1.0, fit_docs / max(1, n)))
     model, _ = train(training, v, text_col="_text", start=training.where(chosen))
     id_field = schema_of(rows, "_id", more="x int")
     stream = rows.select(F.monotonically_increasing_id().alias("_row"), "_id", "_text", "held_out")
