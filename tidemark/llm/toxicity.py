@@ -34,7 +34,9 @@ FEATURE_LIFT, VOTER_LIFT = 6, 40
 REPEATS = 0.5
 THRESHOLD = 0.3
 KEPT = 300_000
-ROUNDS = 12
+ROUNDS = 10
+#: Tasks that sum statistics; each hands the driver one row of some 130 kB at first, then of 2 kB.
+ADDERS = 64
 #: Posteriors are added up as integers of this unit, so that sums don't depend on the order of rows.
 UNIT = 1_000_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -108,16 +110,17 @@ class Statistics:
         if pairs:
             self.pairs += (votes * times[:, None]).T @ votes
 
-    def numbers(self) -> np.ndarray:
-        return np.concatenate(([self.n, self.q, self.qq], self.v, self.qv, self.pairs.ravel()))
+    def numbers(self, pairs: bool) -> np.ndarray:
+        return np.concatenate(([self.n, self.q, self.qq], self.v, self.qv, self.pairs.ravel() if pairs else []))
 
-    @classmethod
-    def of(cls, numbers: np.ndarray, voters: int) -> Statistics:
-        out = cls(voters)
-        out.n, out.q, out.qq = (int(x) for x in numbers[:3])
-        out.v, out.qv = numbers[3 : 3 + voters], numbers[3 + voters : 3 + 2 * voters]
-        out.pairs = numbers[3 + 2 * voters :].reshape(voters, voters)
-        return out
+    def take(self, numbers: np.ndarray) -> None:
+        """Adds what another's ``numbers`` say."""
+        n, own = self.voters, numbers
+        self.n, self.q, self.qq = (a + int(b) for a, b in zip((self.n, self.q, self.qq), own[:3], strict=True))
+        self.v += own[3 : 3 + n]
+        self.qv += own[3 + n : 3 + 2 * n]
+        if len(own) > 3 + 2 * n:
+            self.pairs += own[3 + 2 * n :].reshape(n, n)
 
     def model(self, share: float) -> LabelModel:
         """The rates of each voter on toxic and clean texts, and a discount from the covariance that they don't explain."""
@@ -165,14 +168,15 @@ def choose(texts: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray)
     """Features that occur far more often in toxic than in clean labelled texts, the best first, and which of them do
     so often enough for a voter."""
     toxic, clean = labels.sum(), len(labels) - labels.sum()
-    seen = [np.zeros(SPACE), np.zeros(SPACE)]
+    seen = np.zeros((2, SPACE), np.int32)
     for (at, _, _), y in zip(texts, labels, strict=True):
-        seen[int(y)][at] += 1
-    lift = np.log((seen[1] + 0.3) / (toxic + 0.6)) - np.log((seen[0] + 0.3) / (clean + 0.6))
-    worth = np.where((seen[1] >= max(3, 0.004 * toxic)) & (lift > np.log(FEATURE_LIFT)), seen[1] * lift, 0)
+        seen[int(y), at] += 1
+    often = np.flatnonzero(seen[1] >= max(3, 0.004 * toxic))
+    lift = np.log((seen[1, often] + 0.3) / (toxic + 0.6)) - np.log((seen[0, often] + 0.3) / (clean + 0.6))
+    worth = np.where(lift > np.log(FEATURE_LIFT), seen[1, often] * lift, 0)
     ranked = np.argsort(-worth, kind="stable")[:FEATURES]
     ranked = ranked[worth[ranked] > 0]
-    return ranked, lift[ranked] > np.log(VOTER_LIFT)
+    return often[ranked], lift[ranked] > np.log(VOTER_LIFT)
 
 
 def voters_among(texts: list[tuple[np.ndarray, np.ndarray, int]], chosen: np.ndarray) -> np.ndarray:
@@ -212,7 +216,7 @@ def _voted(lexicon: np.ndarray):
 
 
 def _summed(voters: int, lexicon: int, model: LabelModel | None):
-    """Over (votes, times): the statistics of a partition, as (number, value)."""
+    """Over (votes, times): the statistics of a partition as one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Statistics(voters)
@@ -220,48 +224,45 @@ def _summed(voters: int, lexicon: int, model: LabelModel | None):
             bits = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(len(batch), -1)
             votes = np.unpackbits(bits, axis=1, count=voters)
             found.add(votes, batch.column(1).to_numpy(), model.posterior(votes) if model else first_guess(votes, lexicon), model is None)
-        values = found.numbers()
-        own = np.flatnonzero(values)
-        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(values[own])], ["k", "x"])
+        if found.n:
+            yield pa.RecordBatch.from_arrays([pa.array([found.numbers(model is None).astype("<i8").tobytes()], pa.binary())], ["numbers"])
 
     return run
 
 
 def label_model(docs: DataFrame, lexicon: np.ndarray, share: float, *, text_col: str = "text", rounds: int = ROUNDS) -> LabelModel:
     """The label model from the votes on all of ``docs``.  Texts of equal votes are counted together; each round sums
-    over the distinct votes, and the driver gets the sums: some 16,000 numbers at first, then two for each voter."""
+    over the distinct votes, and the driver gets the sums of ``ADDERS`` tasks."""
     voters = len(lexicon) + len(PATTERNS) + 1
     votes = docs.select(col(text_col).alias("text")).mapInArrow(_voted(lexicon), "votes binary")
-    votes = table(votes.groupBy("votes").agg(F.count("*").alias("times")))
-    model, pairs = None, None
+    votes = table(votes.groupBy("votes").agg(F.count("*").alias("times"))).coalesce(ADDERS)
+    model, pairs = None, np.zeros((voters, voters), np.int64)
     for _ in range(rounds):
-        sums = votes.mapInArrow(_summed(voters, len(lexicon), model), "k int, x long").groupBy("k").agg(F.sum("x").alias("x")).collect()
-        values = np.zeros(3 + 2 * voters + voters * voters, np.int64)
-        for k, x in sums:
-            values[k] = x
-        found = Statistics.of(values, voters)
-        pairs = found.pairs if pairs is None else pairs
-        found.pairs = pairs
+        found = Statistics(voters)
+        found.pairs = pairs  # filled in the first round
+        for row in votes.mapInArrow(_summed(voters, len(lexicon), model), "numbers binary").collect():
+            found.take(np.frombuffer(row[0], "<i8"))
         model = found.model(share)
     return model
 
 
 def fit(texts: list[tuple[np.ndarray, np.ndarray, int]], chosen: np.ndarray, q: np.ndarray, weight: np.ndarray) -> Model:
     """The classifier from the feature counts of texts, their posterior labels and their weights in the sample."""
-    column = np.full(SPACE, -1)
+    column = np.full(SPACE, -1, np.int16)
     column[chosen] = np.arange(len(chosen))
     counts = np.zeros((len(texts), len(chosen)), np.float32)
     for i, (at, n, _) in enumerate(texts):
         c = column[at]
         counts[i, c[c >= 0]] = n[c >= 0]
     size = np.array([max(1, k) for *_, k in texts], np.float32)
-    w, b = _logistic(counts / np.sqrt(size)[:, None], np.clip(q, 0.002, 0.998), weight)
+    counts /= np.sqrt(size)[:, None]
+    w, b = _logistic(counts, np.clip(q, 0.002, 0.998), weight)
     return Model({int(f): float(v) for f, v in zip(chosen, w, strict=True) if v}, float(b))
 
 
 def _logistic(x: np.ndarray, q: np.ndarray, weight: np.ndarray, rounds: int = 250, l2: float = 1e-4, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weighted logistic regression on soft labels by Adam over the whole sample."""
-    x, weight, q = (v.astype(np.float32) for v in (x, weight, q))
+    weight, q = (v.astype(np.float32) for v in (weight, q))
     w, b = np.zeros(x.shape[1], np.float32), np.float32(np.log((weight @ q) / (weight @ (1 - q))))
     m, v = np.zeros(len(w) + 1, np.float32), np.zeros(len(w) + 1, np.float32)
     for t in range(1, rounds + 1):
@@ -301,9 +302,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rows = docs.select(col(text_col).alias("_text"), col(id_col).alias("_id")).join(F.broadcast(sample), "_id")  # FIT_TOXIC + FIT_CLEAN rows at most
     rows = table(rows.select("_text", "_y").mapInArrow(_counted, "at binary, n binary, words int, y int, marks binary"))
     few = [rows.where(F.col("y") == y).orderBy(F.xxhash64("at", "n"), "words").limit(most) for y, most in ((1, FIT_TOXIC), (0, FIT_CLEAN))]  # ids may repeat in ``docs``
-    found = few[0].union(few[1]).collect()
-    found = sorted(found, key=lambda r: (bytes(r.at), bytes(r.n), r.y))
+    found = few[0].collect() + few[1].collect()
     texts, y = [(np.frombuffer(r.at, np.int32), np.frombuffer(r.n, np.uint32), r.words) for r in found], np.array([r.y for r in found])
+    marks = [r.marks for r in found]
+    del found
     if not len(y) or y.min() == y.max():
         return Model({}, float(np.log(share / (1 - share))))
     chosen, strong = choose(texts, y)
@@ -312,7 +314,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     lexicon = voters_among(texts, chosen[strong])
     model = label_model(docs.where(id_remainder(id_col, modulus) != held), lexicon, share, text_col=text_col)
     words = [np.isin(lexicon, at) for at, _, _ in texts]
-    votes = np.array([[*w, *r.marks, not w.any()] for w, r in zip(words, found, strict=True)], float)
+    votes = np.array([[*w, *m, not w.any()] for w, m in zip(words, marks, strict=True)], float)
     # The sample is stratified; weights bring back the share of toxic texts.
     weight = np.where(y > 0, share / y.sum(), (1 - share) / (len(y) - y.sum())) * len(y)
     return fit(texts, chosen, model.posterior(votes), weight)
