@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from datetime import timedelta
+from pathlib import Path
 
 import pytest
 from pyspark import cloudpickle
@@ -9,10 +11,12 @@ from pyspark.sql import functions as F
 
 from tidemark.engine import Engine
 from tidemark.functions.text import encode_snapshot
+from tidemark.operators import batching, ledger
 from tidemark.operators import holds as h
-from tidemark.operators import ledger
-from tidemark.plans.model import Anonymised, ConfigurationError, Detail, Entity, Mode, Options, Rule, RuleBook, RunStatus, State, Strategy, Tenant, Trigger, utc
+from tidemark.operators.eligibility import countable
+from tidemark.plans.model import Anonymised, ConfigurationError, Detail, Entity, Handler, Mode, Phase, Options, Rule, RuleBook, RunStatus, State, Strategy, Tenant, Trigger, in_order, utc
 from tidemark.plans.order import execution_order, first_of_each, validate
+from tidemark.sources import snapshots
 from tidemark.sources.schemas import DETAILS, HOLDS, QUEUE, RUNS, SchemaError, check
 from tidemark.sources.snapshots import Conflict, Snapshots
 from tidemark.streaming import dispatcher, worker
@@ -206,6 +210,165 @@ def test_plan_order_and_validation(spark):
         check(df, HOLDS)
 
 
+def stored_ids(spark, root):
+    """The ids in every Parquet file that lies anywhere under a folder."""
+    found = set()
+    for f in Path(root).rglob("*.parquet"):
+        names = spark.read.parquet(str(f)).columns
+        found |= {r[0] for r in spark.read.parquet(str(f)).select("id" if "id" in names else names[0]).collect()}
+    return found
+
+
+def test_purged_rows_leave_the_disk(make, spark):
+    engine, table = make(NOTE)
+    assert "old" in stored_ids(spark, table.root)
+    engine.sweep(A, NOW)
+    assert "old" not in stored_ids(spark, table.root) and not list(Path(table.root).glob("labels-*"))
+
+
+def test_only_touched_files_are_rewritten(make, spark):
+    engine, table = make(NOTE)
+    more = spark.createDataFrame(rows(("x1", "a", 1, "x", None), ("x2", "b", 900, "x", None)), COLUMNS)
+    base = table.version()
+    table.commit(table.write(more), base, instead_of=[])
+    kept = set(table.files(table.manifest()["files"][-1].partition("/")[0])) | {f for f in table.manifest()["files"]}
+    assert engine.sweep(A, NOW).total == 1
+    after = set(table.manifest()["files"])
+    assert len(kept & after) >= 1 and ids(table) == {"young", "edge", "held", "null", "else", "x1", "x2"}
+
+
+def test_counting_prunes_the_scan(make):
+    engine, table = make(NOTE)
+    plan = countable(table.current(), NOTE, RULES.rules["short"], NOW, tenant="a")._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.partition("PushedFilters: ")[2].partition("]")[0]
+    assert "LessThan(at" in pushed and "EqualTo(tenant_id,a)" in pushed
+
+
+def test_change_and_ledger_come_together(make, monkeypatch):
+    """A writer that dies between the commit and the publication of its events loses neither; one that dies before the
+    commit leaves neither."""
+    engine, table = make(SOFT)
+
+    def die(_, batches):
+        if batches:
+            raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(snapshots, "publish", die)
+        m.setattr(engine.log, "append", lambda rows: None)
+        with pytest.raises(KeyboardInterrupt):
+            engine.sweep(A, NOW)
+    assert [r.id for r in table.current().where("is_deleted").collect()] == ["old"]
+    assert [r.record_id for r in ledger.details(engine.events()).collect()] == ["old"]
+    engine, table = make(NOTE)
+    with monkeypatch.context() as m:
+        m.setattr(table, "commit", lambda *_, **__: (_ for _ in ()).throw(RuntimeError("lost")))
+        assert engine.sweep(A, NOW).status == RunStatus.PARTIALLY_FAILED
+    assert "old" in ids(table) and engine.events().where("kind = 'progress' and entity = 'note'").isEmpty()
+    assert engine.sweep(A, NOW).total == 1
+
+
+def test_one_run_of_a_tenant_at_a_time(make, spark):
+    engine, _ = make(NOTE)
+    with snapshots.Lease(spark, engine.log.folder.root, f"run-{uuid.uuid5(uuid.NAMESPACE_OID, 'a').hex}", 60), pytest.raises(Conflict):
+        engine.sweep(A, NOW)
+    assert engine.sweep(A, NOW).total == 1
+
+
+def test_readiness(make):
+    engine, table = make(Entity("note", UUID(1), "short", "nowhere"))
+    with pytest.raises(ConfigurationError):
+        engine.preview(A, NOW)
+    engine, table = make(NOTE, data=BOUNDARY + BOUNDARY[:1])
+    engine.ready()
+    with pytest.raises(ConfigurationError):
+        engine.ready(ids=True)
+
+
+def seen_before(row, context):
+    if row["subject"] == "bad":
+        raise ValueError("secret")
+    return {"id": row["id"], "at": row["at"], "why": context["strategy"]}
+
+
+def after_seen(row, snapshot):
+    assert snapshot["id"] == row["record_id"] and snapshot["why"] == "PURGE" and row["entity"] == "note"
+
+
+@pytest.mark.parametrize("entity", [NOTE, Entity("note", UUID(1), "anon", "at", fields=(Anonymised("name", "gone"),))])
+def test_handlers(make, spark, tmp_path, entity):
+    """Rows whose hook fails stay and are counted as skipped; others change, and their handlers run from the queue in
+    order, with the snapshot taken before."""
+    data = rows(("one", "a", 40, "x", None), ("two", "a", 50, "bad", None), ("three", "a", 60, "y", None), ("young", "a", 1, "bad", None))
+    purge = entity is NOTE
+    handlers = [Handler("late", after=after_seen if purge else good, priority=None), Handler("first", seen_before, after_seen if purge else good, priority=1), Handler("capture", seen_before, phase=Phase.AFTER_RUN_SETTLED, priority=2)]
+    engine, table = make(entity, data=data, holds=(), handlers={"note": handlers}, queue=str(tmp_path / "work"))
+    out = engine.sweep(A, NOW)
+    assert (out.counts[0].affected, out.counts[0].skipped) == (2, 1)
+    changed = {"one", "three"}
+    assert ids(table) == {"two", "young"} if purge else {r.id for r in table.current().where("name = 'gone'").collect()} == changed
+    work = {(r.detail_id, r.handler): r for r in engine.row_queue.rows(QUEUE).collect()}
+    record = {r.id: r for r in engine.row_details.rows(DETAILS).collect()}
+    got = sorted((record[d].record_id, h, r.state, r.phase) for (d, h), r in work.items())
+    assert got == [("one", "first", 0, 0), ("one", "late", 0, 0), ("three", "first", 0, 0), ("three", "late", 0, 0), ("two", "first", 3, 0)]
+    assert all((record[d].payload is None) == (record[d].record_id == "two") for d, _ in work)
+    assert all(work[d, "first"].id < work[d, "late"].id for d, r in record.items() if r.record_id != "two")
+    assert "secret" not in next(r.last_error for r in work.values() if r.state == 3)
+    summary = ledger.summaries(engine.events()).where("entity = 'note'").first()
+    assert (summary.affected, summary.skipped) == (2, 1)
+    again = engine.sweep(A, NOW)
+    assert (again.counts[0].affected, again.counts[0].skipped) == (0, 1) and len({r.id for r in engine.row_details.rows(DETAILS).collect()}) == 4
+    if purge:
+        queue, kept = Snapshots(spark, str(tmp_path / "queue")), Snapshots(spark, str(tmp_path / "kept"))
+        queue.commit(queue.write(engine.row_queue.rows(QUEUE)), 0)
+        kept.commit(kept.write(engine.row_details.rows(DETAILS)), 0)
+        late = {"late": lambda row, _: None, "first": after_seen}
+        dispatcher.flush(queue, kept, ledger.runs(engine.events()), late, Options(dispatch_batch=3), NOW)
+        assert {r.state for r in queue.current().where("state <> 3").collect()} == {2}
+        assert kept.current().where("payload is not null").isEmpty()
+
+
+def test_handler_registration(make, tmp_path):
+    assert [h.name for h in in_order([Handler("b"), Handler("a"), Handler("z", priority=5), Handler("y", priority=2), Handler("b")])] == ["y", "z", "a", "b"]
+    with pytest.raises(ConfigurationError):
+        in_order([Handler("b"), Handler("b", phase=Phase.AFTER_RUN_SETTLED)])
+    with pytest.raises(ConfigurationError):
+        make(NOTE, handlers={"note": [Handler("a")]})
+    with pytest.raises(ConfigurationError):
+        make(NOTE, handlers={"other": [Handler("a")]}, queue=str(tmp_path / "q"))
+
+
+def test_factories_are_told_what_for(make):
+    fields = (Anonymised("name", factory=lambda _, c: f"{c.entity}.{c.column} of {c.tenant_id}"), Anonymised("mail", factory=lambda v, c: F.concat(v, F.lit(c.now.year)), mode=Mode.PER_ROW_WITH_ORIGINAL), Anonymised("nick", factory=lambda _, c: c.column, mode=Mode.PER_ROW))
+    engine, table = make(Entity("contact", UUID(3), "anon", "at", fields=fields))
+    engine.sweep(A, NOW)
+    assert tuple(table.current().where("id = 'old'").select("name", "mail", "nick").first()) == ("contact.name of a", "m2026", "nick")
+
+
+def test_final_errors_are_not_tried_again(spark, tmp_path):
+    """A handler that isn't registered and a payload past its retention are dead letters after one attempt, and an
+    abandoned run is failed."""
+    q, details, runs = queue_tables(spark, tmp_path, [(1, 1, "none", 0), (2, 2, "good", 0), (3, 3, "good", 0)])
+    old = details.withColumn("at", F.when(F.col("id") == 2, F.col("at") - F.expr("interval 30 days")).otherwise(F.col("at")))
+    abandoned = Snapshots(spark, str(tmp_path / "runs"))
+    abandoned.commit(abandoned.write(runs.withColumns({"status": F.lit(0), "settled_at": F.lit(None).cast("timestamp"), "started_at": F.lit(NOW - 5 * DAY)})), 0)
+    dispatcher.flush(q, old, abandoned, {"good": good}, Options(max_attempts=7), NOW)
+    assert {r.id: (r.state, r.attempt) for r in q.current().collect()} == {1: (3, 1), 2: (3, 1), 3: (2, 1)}
+    assert [r.status for r in abandoned.current().collect()] == [RunStatus.FAILED]
+
+
+def test_batches_of_a_large_tenant(spark):
+    """A tenant over many partitions is numbered like one sorted as a whole."""
+    data = rows(*[(f"r{i:04d}", "a" if i % 9 else "b", 31 + i * 7 % 400, "x", None) for i in range(900)], ("n", "a", None, "x", None))
+    df = spark.createDataFrame(data, COLUMNS).repartition(5)
+    want = {}
+    for t in "ab":
+        own = sorted((x for x in data if x[1] == t), key=lambda x: (x[2] is None, x[2], x[0]))
+        want |= {x[0]: k // 50 for k, x in enumerate(own)}
+    got = batching.batches(df, NOTE, 50)
+    assert {r.id: r.batch_no for r in got.collect()} == want
+
+
 def queue_tables(spark, tmp_path, statuses):
     q = Snapshots(spark, str(tmp_path / "queue"))
     base = [(i, d, hd, 0, s, 0, NOW, NOW, None, None, None, None) for i, d, hd, s in statuses]

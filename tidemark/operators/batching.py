@@ -17,21 +17,29 @@ def oldest_first(eligible: DataFrame, entity: Entity, k: int) -> DataFrame:
 def numbered(rows: DataFrame, *order) -> DataFrame:
     """``rows`` with ``_rn`` from 1 in global order: range partitions are sorted by themselves, and each adds how many
     rows the partitions before it hold (one number per partition)."""
+    return _numbered(rows, [], order)
+
+
+def _numbered(rows: DataFrame, groups: list[str], order) -> DataFrame:
+    """``rows`` with ``_rn`` from 1 in order within each of ``groups``.  Range partitions are sorted by themselves, and
+    each group's rows in a partition start after those of the partitions before; no task needs a whole group.  Equal
+    rows may change places between evaluations, which leaves the numbers of others as they are."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    dealt = dealt.withColumn("_part", F.shiftright("_at", 33)).withColumn("_in", F.col("_at").bitwiseAND(F.lit(2**33 - 1))).persist()
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return dealt.join(F.broadcast(starts.select("_part", "_start")), "_part").withColumn("_rn", F.col("_start") + F.col("_in") + 1).drop("_at", "_part", "_in", "_start")
+    by = [*(F.asc_nulls_first(g) for g in groups), *order]
+    dealt = rows.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    dealt = dealt.withColumn("_part", F.shiftright("_at", 33))
+    sizes = dealt.groupBy("_part", *groups).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # a row for each partition and group in it
+    before = Window.partitionBy(*[F.col(g) for g in groups] or [F.lit(0)]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.struct("_part", *groups).alias("_of"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    same = F.col("_part") == F.col("_of._part")
+    for g in groups:
+        same &= F.col(g).eqNullSafe(F.col("_of")[g])
+    return dealt.join(starts, same).withColumn("_rn", F.col("_start") + F.col("_at") - F.col("_first") + 1).drop("_at", "_part", "_of", "_first", "_start")
 
 
 def batches(eligible: DataFrame, entity: Entity, size: int) -> DataFrame:
     """``eligible`` with ``batch_no`` from 0 per tenant, each batch the oldest ``size`` rows left."""
     by = [F.asc_nulls_last(entity.anchor), F.asc("record_id")]
     rows = eligible.withColumn("record_id", F.col(entity.record_id).cast("string"))
-    if entity.tenant:
-        rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(entity.tenant).orderBy(*by)))
-    else:
-        rows = numbered(rows, *by)
+    rows = _numbered(rows, [entity.tenant] if entity.tenant else [], by)
     return rows.withColumn("batch_no", F.floor((F.col("_rn") - 1) / size).cast("long")).drop("_rn")

@@ -48,6 +48,24 @@ def held_flag(df: DataFrame, entity: Entity, holds: DataFrame, at: datetime) ->
     return df.join(keys, on, "left").withColumn("_held", F.coalesce("_hold", F.lit(False))).drop("_hold_record", "_hold_tenant", "_hold")
 
 
+def countable(df: DataFrame, entity: Entity, rule: Rule, now: datetime, *, tenant: str | None = None, subject: object = None) -> DataFrame:
+    """The rows of ``df`` that a pass counts or changes: in scope, open, and without an anchor or past the cutoff.  All
+    are plain comparisons below every join, so they reach the Parquet scan."""
+    erasing = subject is not None
+    limit = erasure_cutoff(now, rule.legal_minimum) if erasing else cutoff(now, rule.period, rule.legal_minimum)
+    if tenant is not None and entity.tenant:
+        df = df.where(F.col(entity.tenant) == F.lit(tenant))
+    if erasing:
+        df = df.where(reduce(or_, (F.col(c) == F.lit(subject) for c in entity.subjects)))
+    if rule.strategy == Strategy.SOFT_DELETE:
+        df = df.where(F.col(entity.is_deleted) == F.lit(False))
+    elif rule.strategy == Strategy.ANONYMISE:
+        df = df.where(F.col(entity.anonymised_at).isNull())
+    elif rule.strategy != Strategy.PURGE:
+        df = df.where(F.lit(False))
+    return df if limit is None else df.where(F.col(entity.anchor).isNull() | (F.col(entity.anchor) < F.lit(limit)))
+
+
 def disposition(df: DataFrame, entity: Entity, rule: Rule, now: datetime, holds: DataFrame, *, hold_at: datetime | None = None, tenant: str | None = None, subject: object = None) -> DataFrame:
     """``df`` with its label.  ``tenant``: one tenant's pass, else all tenants at once; ``subject``: an erasure, whose
     cutoff is the legal minimum alone."""

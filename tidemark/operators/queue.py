@@ -52,13 +52,15 @@ def claim(rows: DataFrame, now: datetime, token: str) -> DataFrame:
 
 
 def settle(queue: DataFrame, outcomes: DataFrame, *, now: datetime, base_seconds: int, max_attempts: int, most_seconds: int = 10**9) -> DataFrame:
-    """The queue after ``outcomes`` (id, claim_token, error): success, retry with backoff, or dead letter.  Outcomes
-    whose token is no longer the row's are ignored; a dead letter takes the later open rows of its detail along."""
-    said = outcomes.select("id", F.col("claim_token").alias("_token"), F.col("error").alias("_error"), F.lit(True).alias("_said"))
+    """The queue after ``outcomes`` (id, claim_token, error[, final]): success, retry with backoff, or dead letter, at
+    once if the error is final.  Outcomes whose token is no longer the row's are ignored; a dead letter takes the later
+    open rows of its detail along."""
+    final = F.coalesce("final", F.lit(False)) if "final" in outcomes.columns else F.lit(False)
+    said = outcomes.select("id", F.col("claim_token").alias("_token"), F.col("error").alias("_error"), F.lit(True).alias("_said"), final.alias("_final"))
     rows = queue.join(said, "id", "left")
     own = F.coalesce(F.col("_said") & (F.col("state") == int(State.IN_FLIGHT)) & (F.col("claim_token") == F.col("_token")), F.lit(False))
     failed = own & F.col("_error").isNotNull()
-    dead = failed & (F.col("attempt") >= max_attempts)
+    dead = failed & ((F.col("attempt") >= max_attempts) | F.col("_final"))
     rows = rows.withColumns({"_own": own, "_failed": failed, "_dead": dead})
     state = F.when(F.col("_dead"), int(State.DEAD_LETTERED)).when(F.col("_failed"), int(State.PENDING)).when(F.col("_own"), int(State.SUCCEEDED)).otherwise(F.col("state"))
     wait = backoff_seconds(F.col("attempt"), base_seconds, most_seconds)
@@ -97,12 +99,21 @@ def dead_letter_exhausted(queue: DataFrame, *, now: datetime, lease: timedelta,
     return dead_letter_dependants(rows, now)
 
 
+def past(now: datetime, retention: timedelta) -> Column:
+    """Details past ``retention``, which is an hour at least."""
+    return F.col("at") < F.lit(minus(now, max(retention, timedelta(hours=1))))
+
+
+def expire(details: DataFrame, *, now: datetime, retention: timedelta) -> DataFrame:
+    """Row details less payloads past ``retention``."""
+    return details.withColumn("payload", F.when(~past(now, retention), F.col("payload")))
+
+
 def scrub(details: DataFrame, queue: DataFrame, *, now: datetime, retention: timedelta) -> DataFrame:
     """Row details less payloads whose handlers have all settled or that are past ``retention`` (an hour at least)."""
     waiting = queue.where(open_state()).select(F.col("detail_id").alias("id"), F.lit(True).alias("_open")).distinct()
-    old = F.col("at") < F.lit(minus(now, max(retention, timedelta(hours=1))))
     rows = details.join(waiting, "id", "left")
-    return rows.withColumn("payload", F.when(F.col("_open") & ~old, F.col("payload"))).drop("_open").select(*details.columns)
+    return rows.withColumn("payload", F.when(F.col("_open") & ~past(now, retention), F.col("payload"))).drop("_open").select(*details.columns)
 
 
 def remainder(queue: DataFrame) -> DataFrame:

@@ -14,6 +14,10 @@ from tidemark.functions.periods import ZERO
 TENANTLESS = "00000000-0000-0000-0000-000000000000"
 
 
+#: Handlers of an entity at most; their queue ids follow from the row's.
+MOST_HANDLERS = 64
+
+
 class ConfigurationError(ValueError):
     """All that is wrong with a configuration, each message once."""
 
@@ -83,6 +87,41 @@ class Anonymised:
     mode: Mode = Mode.STATIC
 
 
+@dataclass(frozen=True)
+class FactoryContext:
+    """What a factory of two arguments is called for; the original value is its first argument."""
+
+    entity: str
+    column: str
+    now: datetime
+    tenant_id: str | None
+
+
+@dataclass(frozen=True)
+class Handler:
+    """A row handler: ``before(row, context)`` gives a snapshot of a row about to change, or fails, which leaves the
+    row as it is; ``after(context, snapshot)`` runs from the queue once the change is committed.  ``name`` is its
+    identity in the queue and must stay the same."""
+
+    name: str
+    before: Callable[[dict, dict], dict | None] | None = None
+    after: Callable[[dict, dict], None] | None = None
+    phase: Phase = Phase.IMMEDIATE
+    priority: int | None = None
+
+
+def in_order(handlers: Iterable[Handler]) -> list[Handler]:
+    """By priority, those without one last, then by name.  A name registered twice in the same way counts once, in
+    different ways is a configuration error."""
+    known: dict[str, Handler] = {}
+    clashes = [h.name for h in handlers if known.setdefault(h.name, h) != h]
+    if clashes:
+        raise ConfigurationError([f"handler {n} is registered in different ways" for n in clashes])
+    if len(known) > MOST_HANDLERS:
+        raise ConfigurationError([f"an entity can have {MOST_HANDLERS} handlers"])
+    return sorted(known.values(), key=lambda h: (h.priority is None, h.priority or 0, h.name))
+
+
 @dataclass(frozen=True)
 class Entity:
     name: str
@@ -154,17 +193,18 @@ class Options:
     batch: int = 5000
     dry_run: bool = False
     enabled: bool = True
-    dispatch_batch: int = 50
-    dispatch_parallelism: int = 4
+    dispatch_batch: int | None = None
+    dispatch_parallelism: int | None = None
     max_attempts: int = 10
     base_backoff: timedelta = timedelta(seconds=1)
     lease: timedelta = timedelta(minutes=5)
     payload_retention: timedelta = timedelta(days=7)
     observer_timeout: timedelta = timedelta(seconds=5)
+    run_timeout: timedelta = timedelta(hours=24)
 
     def __post_init__(self):
-        bounds = {"batch": (1, None), "dispatch_batch": (1, 10_000), "dispatch_parallelism": (1, 256), "max_attempts": (1, 1000), "lease": (timedelta(seconds=30), None), "base_backoff": (ZERO, None), "observer_timeout": (timedelta(microseconds=1), None)}
-        problems = [f"{k} must lie in {a}..{b or ''}" for k, (a, b) in bounds.items() if getattr(self, k) < a or (b is not None and getattr(self, k) > b)]
+        bounds = {"batch": (1, None), "dispatch_batch": (1, 10_000), "dispatch_parallelism": (1, 256), "max_attempts": (1, 1000), "lease": (timedelta(seconds=30), None), "payload_retention": (timedelta(hours=1), None), "run_timeout": (timedelta(minutes=1), None), "base_backoff": (ZERO, None), "observer_timeout": (timedelta(microseconds=1), None)}
+        problems = [f"{k} must lie in {a}..{b or ''}" for k, (a, b) in bounds.items() if getattr(self, k) is not None and (getattr(self, k) < a or (b is not None and getattr(self, k) > b))]
         if problems:
             raise ConfigurationError(problems)
 
