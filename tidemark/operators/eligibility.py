@@ -14,7 +14,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.periods import cutoff, erasure_cutoff
+from tidemark.functions.periods import ZERO, cutoff, effective_period, erasure_cutoff
 from tidemark.functions.text import record_id
 from tidemark.plans.model import Entity, Rule, Strategy
 
@@ -83,5 +83,19 @@ def disposition(df: DataFrame, entity: Entity, rule: Rule, now: datetime, holds:
     return held_flag(df, entity, holds, hold_at or now).withColumn(LABEL, label).drop("_held")
 
 
+def disposition_by_tenant(df: DataFrame, entity: Entity, rules: DataFrame, rule: Rule, now: datetime, holds: DataFrame, *, hold_at: datetime | None = None) -> DataFrame:
+    """``df`` with its label where each tenant has a period of its own: ``rules`` (tenant_id, period_seconds) is a row for
+    a tenant; other tenants have the period of ``rule``, which says the strategy and the legal minimum for all.  One
+    pass over the table serves all tenants."""
+    floor = int((rule.legal_minimum or ZERO).total_seconds())
+    own = rules.select(F.col("tenant_id").alias("_rule_tenant"), F.greatest("period_seconds", F.lit(floor)).alias("_period"))
+    usual = int(effective_period(rule.period, rule.legal_minimum).total_seconds())
+    rows = df.join(own, F.col(entity.tenant) == F.col("_rule_tenant"), "left")
+    limit = F.timestamp_micros(F.unix_micros(F.lit(now)) - F.coalesce("_period", F.lit(usual)) * 1_000_000)
+    label = F.when(~strategy_open(entity, rule.strategy), "done").when(F.col(entity.anchor).isNull(), "null_anchor").when(F.col(entity.anchor) >= limit, "retained")
+    rows = held_flag(rows, entity, holds, hold_at or now).withColumn(LABEL, label.when(F.col("_held"), "held").otherwise("eligible"))
+    return rows.drop("_held", "_rule_tenant", "_period")
+
+
 def labelled(df: DataFrame, label: str) -> DataFrame:
     return df.where(F.col(LABEL) == label)

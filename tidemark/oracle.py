@@ -72,7 +72,7 @@ def oracle_sql() -> dict[str, str]:
         "exempt_preview": "SELECT DISTINCT event_type AS tenant_id, 0::BIGINT AS affected, 0::BIGINT AS held, 0::BIGINT AS null_anchor FROM events",
         "tenantless_preview": f"WITH {PARTS} SELECT {COUNTS}, {OTHER('retained')} FROM labelled",
         "holds_list_active": f"{e} SELECT '00000000-0000-4000-8000-000000000001' AS entity_id, record_id, hold_id, tenant_id, epoch(created_at)::BIGINT AS created FROM active ORDER BY record_id, hold_id",
-        "holds_has_active": f"{e} SELECT record_id, tenant_id FROM events_ v WHERE event_id % 97 = 0 AND EXISTS (SELECT 1 FROM active a WHERE a.record_id = v.record_id AND a.tenant_id = v.tenant_id)",
+        "holds_has_active": f"{e} SELECT record_id, tenant_id FROM events_ v WHERE EXISTS (SELECT 1 FROM active a WHERE a.record_id = v.record_id AND a.tenant_id = v.tenant_id)",
         "holds_lifted": f"{e} SELECT hold_id, epoch(CASE WHEN hold_id = 'a0' THEN TIMESTAMP '2024-01-31' ELSE removed_at END)::BIGINT AS removed FROM holds_",
         "guarded_deletion": f"{e}, t AS (SELECT event_id // 40 AS request_id, EXISTS (SELECT 1 FROM active a WHERE a.record_id = v.record_id AND a.tenant_id = v.tenant_id) AS h FROM events_ v) SELECT request_id, count(*) AS targets, count(*) FILTER (WHERE h) AS held, CASE WHEN bool_or(h) THEN 'Protected' ELSE 'Executed' END AS outcome FROM t GROUP BY request_id",
         "purge_survivors": f"{e} SELECT record_id, tenant_id FROM labelled WHERE label <> 'eligible'",
@@ -92,7 +92,15 @@ def oracle_sql() -> dict[str, str]:
         "ledger_run": f"{e} SELECT 'run-' || tenant_id AS run_id, 1 AS status, 2 AS trigger, 86400::BIGINT AS duration_seconds, count(*) FILTER (WHERE label = 'eligible') AS total_affected FROM labelled GROUP BY tenant_id",
         "row_detail": f"{e} SELECT 'run' AS run_id, tenant_id, record_id, CASE WHEN event_id % 2 = 0 THEN 'p' || record_id END AS payload FROM labelled WHERE label = 'eligible'",
         "failed_row_exclusion": f"{e} SELECT record_id, tenant_id FROM labelled WHERE label = 'eligible' AND event_id % 4 <> 0",
-        "multi_tenant_sweep": f"{e} SELECT tenant_id, count(*) FILTER (WHERE anchor < TIMESTAMP '2024-01-31' - to_days(CASE tenant_id WHEN 'click' THEN 7 WHEN 'view' THEN 14 WHEN 'error' THEN 21 ELSE 28 END)) AS affected, count(*) FILTER (WHERE anchor IS NULL) AS null_anchor FROM events_ GROUP BY tenant_id",
+        "multi_tenant_sweep": f"{e}, own AS (SELECT *, CASE WHEN anchor IS NULL THEN 'null_anchor' WHEN anchor >= TIMESTAMP '2024-01-31' - to_days(CASE tenant_id WHEN 'click' THEN 7 WHEN 'view' THEN 14 WHEN 'error' THEN 21 ELSE 28 END) THEN 'retained' WHEN EXISTS (SELECT 1 FROM active a WHERE a.record_id = v.record_id AND a.tenant_id = v.tenant_id) THEN 'held' ELSE 'eligible' END AS label FROM events_ v) SELECT tenant_id, {COUNTS} FROM own GROUP BY tenant_id",
+        "engine_sweep": f"{e} SELECT record_id, tenant_id FROM labelled WHERE label <> 'eligible' OR tenant_id NOT IN ('click', 'error')",
+        "engine_ledger": f"{e}, c AS ({purge.removeprefix(e)}) SELECT c.tenant_id, dry_run, 1 AS status, affected AS total_affected, affected, 0::BIGINT AS skipped, held, null_anchor, 1209600::BIGINT AS period_seconds FROM c, (VALUES (true), (false)) AS t(dry_run) WHERE tenant_id IN ('click', 'error')",
+        "engine_erase": f"WITH {TURNS} SELECT record_id, tenant_id FROM turns WHERE tenant_id IS DISTINCT FROM 'user' OR {LEGAL} <> 'eligible'",
+        "handler_sweep": f"{e} SELECT record_id, tenant_id FROM labelled WHERE label <> 'eligible' OR tenant_id <> 'click' OR event_id % 10 = 3",
+        "handler_failures": f"{e} SELECT record_id, 'notify' AS handler FROM labelled WHERE label = 'eligible' AND tenant_id = 'click' AND event_id % 10 = 3",
+        "queue_enqueued": f"{e} SELECT record_id, handler, phase, nth, event_id AS value FROM labelled, (VALUES ('notify', 1, 1), ('store', 0, 2)) AS t(handler, phase, nth) WHERE label = 'eligible' AND tenant_id = 'click' AND event_id % 10 <> 3",
+        "queue_drained": f"{e}, c AS (SELECT event_id % 10 = 3 AS lost FROM labelled WHERE label = 'eligible' AND tenant_id = 'click') SELECT handler, CASE WHEN lost THEN 3 ELSE 2 END AS state, count(*) AS rows, CASE WHEN lost THEN 0 ELSE 1 END AS attempts, 0::BIGINT AS payloads FROM c, (VALUES ('notify'), ('store')) AS t(handler) WHERE NOT lost OR handler = 'notify' GROUP BY ALL",
+        "anonymise_factory_per_row": "SELECT count(*) AS rows, count(*) AS texts, 41 AS least, count(*) AS named FROM documents WHERE doc_id > 30",
         "tenant_dedup": "SELECT * FROM (VALUES ('a', 'de', true), ('b', 'fr', false), ('c', NULL, false)) AS t(tenant_id, jurisdiction, conflict)",
         "fk_child_first": "SELECT * FROM (VALUES (0, 'line'), (1, 'order_record'), (2, 'customer_profile'), (3, 'price_list')) AS t(position, entity)",
         "record_id_uniqueness": "SELECT l_orderkey || ':' || l_linenumber AS record_id, count(*) AS rows FROM lineitem GROUP BY 1 HAVING count(*) > 1",

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.engine import Engine
 from tidemark.functions.periods import backoff_seconds
 from tidemark.functions.text import plain_type_name, record_id
 from tidemark.operators import batching, holds, ledger, mutate, queue
 from tidemark.operators import measure as m
-from tidemark.operators.eligibility import LABEL, disposition
-from tidemark.plans.model import Anonymised, Entity, Mode, Rule, Strategy, Tenant, utc
+from tidemark.operators.eligibility import LABEL, disposition, disposition_by_tenant
+from tidemark.plans.model import Anonymised, Entity, Handler, Mode, Options, Phase, Rule, RuleBook, Strategy, Tenant, utc
 from tidemark.plans.order import execution_order, first_of_each, repeated_ids
+from tidemark.session import work_folder
+from tidemark.sources.schemas import DETAILS, QUEUE
+from tidemark.sources.snapshots import Snapshots
+from tidemark.streaming import dispatcher
 
 _ID = "00000000-0000-4000-8000-00000000000{}".format
 DAY = timedelta(days=1)
@@ -209,7 +215,7 @@ def holds_list_active(s, d):
 
 @_query
 def holds_has_active(s, d):
-    t = events(s, d).where("event_id % 97 = 0").select(F.lit(EVENTS.entity_id).alias("entity_id"), "record_id", "tenant_id")
+    t = events(s, d).select(F.lit(EVENTS.entity_id).alias("entity_id"), "record_id", "tenant_id")
     return holds.held_targets(t, event_holds(s, d), EVENT_AT).select("record_id", "tenant_id")
 
 
@@ -330,10 +336,8 @@ def failed_row_exclusion(s, d):
 @_query
 def multi_tenant_sweep(s, d):
     """Rules differ by tenant: joined as a table, the cutoff is a column."""
-    periods = s.createDataFrame([("click", 7), ("view", 14), ("error", 21)], "tenant_id string, days int")
-    rows = events(s, d).join(periods, "tenant_id", "left").withColumn("_due", _days_before(EVENT_AT, F.coalesce("days", F.lit(28))))
-    late = F.col("occurred_at") < F.col("_due")
-    return rows.groupBy("tenant_id").agg(F.count_if(late).alias("affected"), F.count_if(F.col("occurred_at").isNull()).alias("null_anchor"))
+    rules = s.createDataFrame([(t, n * 86_400) for t, n in (("click", 7), ("view", 14), ("error", 21))], "tenant_id string, period_seconds long")
+    return m.measure(disposition_by_tenant(events(s, d), EVENTS, rules, Rule(28 * DAY, Strategy.PURGE), EVENT_AT, event_holds(s, d)), EVENTS)
 
 
 @_query
@@ -437,4 +441,108 @@ def newest_per_tenant(s, d):
     return rows.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("tenant_id", "rank", "record_id")
 
 
+# -- whole passes of the engine, over tables of their own in the shared folder
+
+
+def _engine(s: SparkSession, e: Entity, df: DataFrame, rule: Rule, hold: DataFrame, now, handlers=()) -> tuple[Engine, Snapshots]:
+    root = f"{work_folder(s)}/engine-{uuid.uuid4().hex}"
+    table = Snapshots(s, f"{root}/table")
+    table.commit(table.write(df), 0)
+    return Engine(s, [e], RuleBook({e.category: rule}), {e.name: table}, lambda: hold, f"{root}/events", clock=lambda: now, handlers={e.name: list(handlers)}, queue=f"{root}/work"), table
+
+
+TYPES = ("click", "error")
+
+
+@_query
+def engine_sweep(s, d):
+    """What two tenants' sweeps leave of the table."""
+    engine, table = _engine(s, EVENTS, events(s, d), PURGE_14, event_holds(s, d), EVENT_AT)
+    for t in TYPES:
+        engine.sweep(Tenant(t), EVENT_AT)
+    return table.current().select("record_id", "tenant_id")
+
+
+@_query
+def engine_ledger(s, d):
+    """The audit summaries of dry runs and of the sweeps after them."""
+    engine, _ = _engine(s, EVENTS, events(s, d), PURGE_14, event_holds(s, d), EVENT_AT)
+    for t in TYPES:
+        engine.dry_run(Tenant(t), EVENT_AT)
+        engine.sweep(Tenant(t), EVENT_AT)
+    rows = ledger.summaries(engine.events()).join(ledger.runs(engine.events()).select("run_id", "dry_run", "status", "total_affected"), "run_id")
+    return rows.select("tenant_id", "dry_run", "status", "total_affected", "affected", "skipped", "held", "null_anchor", "period_seconds")
+
+
+@_query
+def engine_erase(s, d):
+    """What the erasure of one subject with a legal minimum leaves of a tenant's and all others' rows."""
+    engine, table = _engine(s, Entity("turn", _ID(5), "talk", "said_at", record_id="record_id", subjects=("subject_id",)), turns(s, d), Rule(365 * DAY, Strategy.PURGE, 45 * DAY), no_holds(s, d), PART_AT)
+    engine.erase(Tenant("user"), 3, PART_AT)
+    return table.current().select("record_id", "tenant_id")
+
+
+def _hook(row: dict, _: dict) -> dict:
+    if int(row["event_id"]) % 10 == 3:
+        raise ValueError("refused")
+    return {"value": int(row["event_id"])}
+
+
+def _told(row: dict, snapshot: dict) -> None:
+    assert row["record_id"] == str(snapshot["value"])
+
+
+def _handled(s: SparkSession, d: str) -> tuple[Engine, Snapshots]:
+    handlers = [Handler("store", _hook, _told), Handler("notify", _hook, _told, Phase.AFTER_RUN_SETTLED, 1), Handler("count", _hook)]
+    engine, table = _engine(s, EVENTS, events(s, d), PURGE_14, event_holds(s, d), EVENT_AT, handlers)
+    engine.sweep(Tenant(TYPES[0]), EVENT_AT)
+    return engine, table
+
+
+@_query
+def handler_sweep(s, d):
+    """Survivors where a hook refuses some rows."""
+    return _handled(s, d)[1].current().select("record_id", "tenant_id")
+
+
+@_query
+def handler_failures(s, d):
+    """The refused rows, dead letters of the first handler."""
+    engine = _handled(s, d)[0]
+    lost = engine.row_queue.rows(QUEUE).where("state = 3").select("detail_id", "handler")
+    return lost.join(engine.row_details.rows(DETAILS).where("payload is null").select(F.col("id").alias("detail_id"), "record_id"), "detail_id").select("record_id", "handler")
+
+
+@_query
+def queue_enqueued(s, d):
+    """What the sweep puts into the queue, in the order of a row's handlers."""
+    engine = _handled(s, d)[0]
+    rows = engine.row_queue.rows(QUEUE).join(engine.row_details.rows(DETAILS).select(F.col("id").alias("detail_id"), "record_id", "payload"), "detail_id")
+    nth = F.row_number().over(Window.partitionBy("detail_id").orderBy("id"))
+    return rows.where("state = 0").select("record_id", "handler", "phase", nth.alias("nth"), F.get_json_object("payload", "$.store.value").cast("long").alias("value"))
+
+
+@_query
+def queue_drained(s, d):
+    """The queue after a flush of what the sweep put into it, and whether a payload is left."""
+    engine = _handled(s, d)[0]
+    root = f"{work_folder(s)}/drain-{uuid.uuid4().hex}"
+    work, details = Snapshots(s, f"{root}/rows"), Snapshots(s, f"{root}/details")
+    work.commit(work.write(engine.row_queue.rows(QUEUE)), 0)
+    details.commit(details.write(engine.row_details.rows(DETAILS)), 0)
+    dispatcher.flush(work, details, ledger.runs(engine.events()), engine.after_handlers(), Options(), EVENT_AT)
+    rows = work.current().join(details.current().select(F.col("id").alias("detail_id"), "payload"), "detail_id")
+    return rows.groupBy("handler", "state").agg(F.count("*").alias("rows"), F.max("attempt").alias("attempts"), F.count("payload").alias("payloads"))
+
+
+@_query
+def anonymise_factory_per_row(s, d):
+    """A factory called for each row anew, and told what for."""
+    own = Anonymised("text", factory=lambda _, c: f"{c.entity}:{uuid.uuid4().hex}", mode=Mode.PER_ROW)
+    e = Entity("document", _ID(6), "texts", "written_at", record_id="record_id", fields=(own,))
+    rows = mutate.anonymise(disposition(documents(s, d), e, Rule(30 * DAY, Strategy.ANONYMISE), PART_AT, no_holds(s, d)), e, PART_AT)
+    new = rows.where("anonymised_at is not null")
+    return new.agg(F.count("*").alias("rows"), F.count_distinct("text").alias("texts"), F.min(F.length("text")).alias("least"), F.count_if(F.col("text").startswith("document:")).alias("named"))
+
+
 QUERIES = dict(Q)

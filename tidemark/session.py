@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -11,3 +15,16 @@ def session(app: str = "tidemark", master: str | None = None, **conf: str) -> Sp
         builder = builder.master(master)
     fixed = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
     return builder.config(map=fixed | conf).getOrCreate()
+
+
+def work_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share; where it is unset, a temporary one in
+    local mode, which has no other machine, and an error on a cluster."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if path is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
