@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.model import Entity
+from tidemark.session import stored
 
 
 def oldest_first(eligible: DataFrame, entity: Entity, k: int) -> DataFrame:
@@ -22,12 +23,12 @@ def numbered(rows: DataFrame, *order) -> DataFrame:
 
 def _numbered(rows: DataFrame, groups: list[str], order) -> DataFrame:
     """``rows`` with ``_rn`` from 1 in order within each of ``groups``.  Range partitions are sorted by themselves, and
-    each group's rows in a partition start after those of the partitions before; no task needs a whole group.  Equal
-    rows may change places between evaluations, which leaves the numbers of others as they are."""
+    each group's rows in a partition start after those of the partitions before; no task needs a whole group.  Bounds
+    of range partitions are sampled anew in each evaluation, so the rows are stored with their places."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [*(F.asc_nulls_first(g) for g in groups), *order]
     dealt = rows.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
-    dealt = dealt.withColumn("_part", F.shiftright("_at", 33))
+    dealt = stored(dealt.withColumn("_part", F.shiftright("_at", 33)))
     sizes = dealt.groupBy("_part", *groups).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # a row for each partition and group in it
     before = Window.partitionBy(*[F.col(g) for g in groups] or [F.lit(0)]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(F.struct("_part", *groups).alias("_of"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,3 +29,10 @@ def work_folder(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
     return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the work folder once and read from there, for plans that must not be evaluated twice."""
+    path = f"{work_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
