@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -692,3 +694,79 @@ def test_pipeline(spark):
         assert 0.5 * before <= d.count() <= (1.5 if name == "mixing" else 1) * before
     out = pipeline.run(spark, SMALL)
     assert out.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 1024
+
+
+def test_pipeline_by_brute_force(spark, monkeypatch):
+    """Every stage's rows on the documents and made near copies, and those of all stages, against plain Python."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    kept = _captured(monkeypatch, toxicity, "train")
+    base = docs(spark).select(*pipeline.COLUMNS)
+    rows = [tuple(r) for r in base.collect()]
+    made = [(900 + i, prose(90, 40 + i // 2) + (" changed" if i % 2 else ""), "en", "made", 1) for i in range(8)] + [(950, None, None, None, None), (951, "", "en", "made", 0)]
+    d = spark.createDataFrame(rows + made, base.schema).repartition(3)
+    now = {r[0]: r for r in rows + made}
+
+    def step(k, d):
+        out = pipeline.STAGES[k][1](spark, d, SMALL)
+        return spark.createDataFrame([tuple(r) for r in out.collect()], out.schema)
+
+    d, model = step(0, d), kept[0][1]
+    value = lambda t: sum(model.weights.get(zlib.crc32(k.encode()) % 2**20, 0.0) for w in toxicity.words_of(t) for k in ("=" + w, *(w[:n] for n in range(3, 8) if len(w) >= n)))
+    now = {i: r for i, r in now.items() if 1 / (1 + np.exp(-(model.bias + value(r[1]) / max(1, len(toxicity.words_of(r[1]))) ** 0.5))) < 0.3}
+    assert {r.doc_id: tuple(r) for r in d.collect()} == now and len(now) > 180
+
+    d = step(1, d)
+    gone, left = _repeated([(i, r[1] or "") for i, r in now.items()]), {}
+    for i, r in now.items():
+        text = None if r[1] is None else "\n".join(x for k, x in enumerate(r[1].split("\n")) if (i, k) not in gone)
+        if text == r[1]:
+            left[i] = r
+        elif text.encode().split():
+            left[i] = (i, text, *r[2:4], len(text))
+    now = left
+    assert {r.doc_id: tuple(r) for r in d.collect()} == now and gone
+
+    d = step(2, d)
+    ids = sorted(now)
+    sets = [simhash.shingles((now[i][1] or "").encode(), 5) for i in ids]
+    root = _linked_roots(len(ids), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    now = {ids[k]: now[ids[k]] for k in set(root)}
+    assert {r.doc_id: tuple(r) for r in d.collect()} == now and len(now) < len(ids)
+
+    d = step(3, d)
+    size = Counter()
+    for r in now.values():
+        size[r[3]] += max(1, len(r[1] or ""))
+    aim = {s: n**0.5 for s, n in size.items()}
+    want = Counter()
+    for r in now.values():
+        mean = sum(size.values()) * aim[r[3]] / sum(aim.values()) / size[r[3]]
+        key = f"42:{r[0]}:{hashlib.md5((r[1] or '').encode()).hexdigest()}:1"
+        u = (int(hashlib.md5(key.encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        n, p, total = 0, math.exp(-mean), math.exp(-mean)
+        while total < u:
+            n += 1
+            p *= mean / n
+            total += p
+        want[r] += n
+    assert Counter(tuple(r) for r in d.collect()) == +want
+
+    tok, pieces = Tokenizer.from_file(BYTE), Counter()
+    for r in d.collect():
+        n = len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1
+        first = n if n <= 1024 else n % 1024 or 1024
+        for k, start in enumerate([0, *range(first, n, 1024)]):
+            pieces[r.doc_id, k, start, first if k == 0 else 1024] += 1
+    out = pipeline.STAGES[4][1](spark, d, SMALL).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length) for r in out) == pieces
+    whole = Counter((r.doc_id, r.piece, r.length) for r in pipeline.run(spark, SMALL).collect())
+    assert whole and {i for i, *_ in whole} <= {r[0] for r in rows}
+
+
+def test_pipeline_stages_with_awkward_rows(spark, awkward, nothing):
+    """Nulls, ties, repeated rows, clashing columns and empty tables pass every stage."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, awkward, SMALL)
+        assert out.count() > 0 and (name == "packing" or out.columns == list(pipeline.COLUMNS))
+        assert stage(spark, nothing, SMALL).count() == 0

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import rows_per_partition, schema_of, table
+from ._common import col, fresh, rows_per_partition, schema_of, table
 
 #: Distinct words whose ids a Python worker keeps; beyond it the table starts anew, which costs time only.
 KEPT = 300_000
@@ -38,7 +38,7 @@ def byte_encoder(path: str) -> Callable[[str], bytes]:
     """A function giving a text's token ids as little-endian 32-bit words, equal to the tokenizer file's own library.
 
     Byte-level BPE breaks a text before each space that follows a non-space, so ids are found once per distinct word
-    with its leading space.  The file's vocabulary serves as merge ranks; texts with added-token strings, and files
+    with its leading space.  The file's vocabulary serves as merge ranks if it has the merges' order; texts with added-token strings, and files
     of any other kind, go through the file's own library as a whole.
     """
     import json
@@ -64,6 +64,9 @@ def byte_encoder(path: str) -> Callable[[str], bytes]:
     import tiktoken
 
     added = {x["content"]: x["id"] for x in spec["added_tokens"]}
+    made = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    if None in made or any(a >= b for a, b in zip(made, made[1:], strict=False)):
+        return whole  # the vocabulary's order isn't the merges'
     shown = _byte_letters()
     ranks = {bytes(shown[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
     encode = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -207,7 +210,7 @@ def pack(items: DataFrame, *, length_col: str = "length", capacity: int = 1024,
     """The rows of ``items`` with (sequence_id, offset, gap): offsets are gapless from 0 in each sequence, and
     ``gap`` is by how many bins the row's partition stood above its certified lower bound (0: proven optimal there).
 
-    Every row is packed once, equal rows too.  Lengths must lie in 1..capacity; a null or other length is an error.
+    Every row is packed once, equal rows too; ``items`` should be a stored table, as rows are dealt by their places.  Lengths must lie in 1..capacity; a null or other length is an error.
     An empty table gives an empty result.
     """
     bad = items.where(f"`{length_col}` is null or `{length_col}` < 1 or `{length_col}` > {capacity}")
@@ -224,7 +227,9 @@ def pack(items: DataFrame, *, length_col: str = "length", capacity: int = 1024,
     for round_ in range(max_rounds):
         parts = rows_per_partition(spark, left, each) if round_ == 0 else max(1, -(-left // each))
         last = parts == 1 or round_ == max_rounds - 1
-        dealt = rest.repartition(parts, F.xxhash64(*items.columns, F.lit(round_)))
+        [place] = fresh(items, "_place")  # so that equal rows are dealt to different tasks
+        dealt = rest.withColumn(place, F.xxhash64(*[col(c) for c in items.columns], F.monotonically_increasing_id()))
+        dealt = dealt.repartition(parts, F.xxhash64(place, F.lit(round_))).drop(place)
         run = _pack(items.columns.index(length_col), capacity, round_, last, share, names)
         packed = table(dealt.mapInArrow(run, schema))
         made, loose = packed.agg(F.sum(F.when(F.col("offset") == 0, 1)), F.sum(F.when(F.col("offset") == 0, F.col("_open").cast("int")))).first()

@@ -33,7 +33,7 @@ FEATURE_LIFT, VOTER_LIFT = 6, 40
 #: Voters whose unexplained correlation exceeds this repeat one another.
 REPEATS = 0.5
 THRESHOLD = 0.3
-KEPT = 300_000
+KEPT = 120_000
 ROUNDS = 10
 #: Tasks that sum statistics; each hands the driver one row of some 130 kB at first, then of 2 kB.
 ADDERS = 64
