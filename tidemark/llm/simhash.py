@@ -494,7 +494,7 @@ def _similar(size: int, least: float):
     return run
 
 
-def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = DISTANCE, tables: int = 150, picks: int = 12, run_limit: int = RUN_LIMIT) -> DataFrame:
+def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = DISTANCE, tables: int = 150, picks: int = 11, run_limit: int = RUN_LIMIT) -> DataFrame:
     """(id, component_id, text_hash), one row for each row of ``docs``: components of texts whose sets of word
     shingles have a Jaccard similarity of ``similarity`` or more.
 
@@ -511,7 +511,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return found.select(F.col("id").alias(id_col), "component_id", "text_hash")
 
 
-def _similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = DISTANCE, tables: int = 150, picks: int = 12, run_limit: int = RUN_LIMIT) -> DataFrame:
+def _similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = DISTANCE, tables: int = 150, picks: int = 11, run_limit: int = RUN_LIMIT) -> DataFrame:
     """The rows of ``similar_documents`` as (id, text_hash, root, component_id, ...)."""
     rows = table(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, wide=True).withColumnRenamed(id_col, "id"))
     prints, masks = rows.select("fp", *_WIDE).distinct(), random_grids(tables, picks)
