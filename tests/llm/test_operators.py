@@ -354,7 +354,8 @@ ODD = ["It's Don't we'LL \u2019s", "a1b22 ,'s x,'S 9.5%", "Stra\u00dfe e\u0301 \
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_token_counts(spark, awkward, nothing, name):
-    """Each file's counts are its library's, over the documents, awkward rows and odd texts, in blocks of any size."""
+    """Each file's counts are its library's, over the documents, awkward rows and odd texts, however many pre-tokens
+    are broadcast."""
     path = public_tokenizers.path(name)
     if name.endswith(".model"):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -367,8 +368,8 @@ def test_token_counts(spark, awkward, nothing, name):
     rows = texts(awkward) + [(100 + i, t) for i, t in enumerate(odd)] + [(1000 + i, t) for i, t in texts(docs(spark))]
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = sorted((i or -1, len(t.encode()), count(t), count(t) > 50) for i, t in rows)
-    for size in (3000, 10**9):
-        got = token_counts.count_tokens(table, path, limit=50, block_bytes=size).collect()
+    for top in (0, 300, 10**6):
+        got = token_counts.count_tokens(table, path, limit=50, top=top).collect()
         assert sorted((x.doc_id or -1, x.n_bytes, x.n_tokens, x.over_limit) for x in got) == want
     assert token_counts.count_tokens(nothing, path).count() == 0
 

@@ -1,10 +1,10 @@
 """Token counts without token ids.
 
-A pre-token is a part of a text that the tokenizer encodes by itself.  One pass over the documents makes, for each block
-of them, a vocabulary of its words with their pre-tokens, and for each document the frequencies of the block's words.
-The distinct pre-tokens of all blocks are encoded once each and only their numbers of pieces are kept; these are joined
-to the vocabularies, and each block's documents add up frequency times pieces.  What is shuffled is the vocabularies and
-the frequencies, never texts or ids.
+A pre-token is a part of a text that the tokenizer encodes by itself.  One pass counts the distinct pre-tokens of all
+documents; each is encoded once, and only its number of pieces is kept.  A second pass joins these numbers to every
+document's pre-token frequencies: those of the ``TOP`` most frequent pre-tokens, a fixed bound, are broadcast; the other
+frequencies are rows (document, pre-token, times) that are joined on the pre-token and added up.  Texts and ids are
+never shuffled.
 
 What may be parted is read from the tokenizer's file.  Where the file is of no known form, whole texts are encoded.
 """
@@ -17,17 +17,17 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import col, schema_of, table
+from ._common import col, schema_of, ship, shipped, table
 from .packing import _BREAK
 
-#: Bytes of text after which a block of documents ends; its vocabulary is held in memory.
-BLOCK = 32_000_000
+#: Pre-tokens whose numbers of pieces are broadcast, and words whose numbers a Python worker keeps.
+TOP, KEPT = 2**18, 200_000
+#: Distinct words that a task counts before it hands its counts on.
+FLUSH = 200_000
 #: Texts that the library encodes in one call.
 GROUP = 8_192
 # The pattern of a tokenizer file that parts texts into words and drops white space, and what it finds in
@@ -90,72 +90,100 @@ def parting(path: str) -> tuple[Callable[[str], list[str]], Callable[[str], list
     return (lambda t: [w.decode() for w in t.encode().split()]), parts
 
 
-def _codes(values: list[int]) -> bytes:
-    """Integers in as few bytes each as the largest needs: 1, 2 or 4."""
-    x = np.array(values, np.uint32)
-    top = int(x.max(initial=0))
-    return x.astype("<u1" if top < 256 else "<u2" if top < 65_536 else "<u4").tobytes()
+def _pre_tokens(path: str):
+    """Over (text): (unit, n), how often each pre-token occurs in a part of the texts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, parts = parting(path)
+        seen: Counter[str] = Counter()
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            units: Counter[str] = Counter()
+            for w, n in seen.items():
+                for u in parts(w):
+                    units[u] += n
+            keys, values = list(units), list(units.values())
+            for at in range(0, len(keys), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 50_000], pa.string()), pa.array(values[at : at + 50_000], pa.int64())], ["unit", "n"])
+            seen.clear()
+
+        for batch in batches:
+            for text in batch.column(0):
+                seen.update(split(text.as_py() or ""))
+                if len(seen) > FLUSH:
+                    yield from handed()
+        yield from handed()
 
-def _values(codes: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(codes, f"<u{len(codes) // n}") if n else np.zeros(0, np.uint8)
+    return run
 
 
-def _blocks(path: str, block_bytes: int):
-    """For each document (block, id, n_bytes, n, which, often): its ``n`` distinct words and how often each occurs; for
-    each pre-token of a block's word (block, word, unit, times)."""
-    names = ["id", "block", "n_bytes", "n", "which", "often", "word", "unit", "times"]
+def _summed(path: str, shared):
+    """Over (row, id, text): (row, id, n_bytes, n) with the pieces of the broadcast pre-tokens, and (row, unit, times)
+    for the others."""
+    names = ["row", "id", "n_bytes", "n", "unit", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, parts = parting(path)
-        block, filled = TaskContext.get().partitionId() << 33, 0
-        words: dict[str, int] = {}
-
-        def vocabulary() -> Iterator[pa.RecordBatch]:
-            rows = [(k, u, n) for w, k in words.items() for u, n in Counter(parts(w)).items()]
-            for at in range(0, len(rows), 50_000):
-                some = rows[at : at + 50_000]
-                k, u, n = zip(*some, strict=True)
-                none = lambda t: pa.nulls(len(some), t)
-                yield pa.RecordBatch.from_arrays([none(kind), pa.array([block] * len(some), pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.binary()), none(pa.binary()), pa.array(k, pa.int32()), pa.array(u, pa.string()), pa.array(n, pa.int32())], names)
-
-        for batch in batches:
-            kind = batch.schema.field(0).type
-            rows: list[tuple] = []
-            start = 0
-            for i, value in enumerate(batch.column(1)):
-                text = value.as_py() or ""
-                counts = Counter(split(text))
-                which = [words.setdefault(w, len(words)) for w in counts]
-                size = len(text.encode())
-                rows.append((block, size, len(which), _codes(which), _codes(list(counts.values()))))
-                filled += size
-                if filled >= block_bytes or i == len(batch) - 1:
-                    b, size, n, which, often = zip(*rows, strict=True)
-                    none = lambda t: pa.nulls(len(rows), t)  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(rows)), pa.array(b, pa.int64()), pa.array(size, pa.int64()), pa.array(n, pa.int32()), pa.array(which, pa.binary()), pa.array(often, pa.binary()), none(pa.int32()), none(pa.string()), none(pa.int32())], names)
-                    rows, start = [], i + 1
-                if filled >= block_bytes:
-                    yield from vocabulary()
-                    words.clear()
-                    block, filled = block + 1, 0
-        if words:
-            yield from vocabulary()
+        pieces: dict[str, int] = shipped(shared)
+        kept: dict[str, tuple[int, tuple[str, ...]]] = {}
+
+        def worth(word: str) -> tuple[int, tuple[str, ...]]:
+            units = parts(word)
+            found = (sum(pieces.get(u, 0) for u in units), tuple(u for u in units if u not in pieces))
+            if len(kept) >= KEPT:
+                kept.clear()
+            kept[word] = found
+            return found
+
+        for whole in batches:
+            for at in range(0, len(whole), 500):
+                batch = whole.slice(at, 500)
+                sizes, sums, where, units, times = [], [], [], [], []
+                for row, value in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                    text, total = value.as_py() or "", 0
+                    rare: Counter[str] = Counter()
+                    for word, n in Counter(split(text)).items():
+                        own, others = kept.get(word) or worth(word)
+                        total += n * own
+                        for u in others:
+                            rare[u] += n
+                    sizes.append(len(text.encode()))
+                    sums.append(total)
+                    where += [row] * len(rare)
+                    units += rare
+                    times += rare.values()
+                n, k = len(batch), len(where)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.nulls(k, batch.schema.field(1).type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(units, pa.string()), pa.array(times, pa.int32())], names)
 
     return run
 
 
 def _counted(path: str):
+    """Over (unit, c): with the unit's number of pieces."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = piece_counter(path)
         for batch in batches:
             for at in range(0, len(batch), GROUP):
                 part = batch.slice(at, GROUP)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count(part.column(0).to_pylist()), pa.int64())], ["unit", "pieces"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(count(part.column(0).to_pylist()), pa.int64())], ["unit", "c", "pieces"])
 
     return run
 
 
+def most_frequent(counted: DataFrame, top: int) -> dict[str, int]:
+    """Pieces of the most frequent of (unit, c, pieces), ``top`` at most: all whose count reaches a step of a fine
+    logarithmic scale."""
+    step = F.floor(F.log2("c") * 16).cast("int")
+    least, room = None, top
+    for k, n in sorted(counted.groupBy(step.alias("k")).count().collect(), reverse=True):  # a thousand rows at most
+        if n > room:
+            break
+        least, room = k, room - n
+    return {} if least is None else dict(counted.where(step >= least).select("unit", "pieces").collect())
+
+
 def _whole(path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = piece_counter(path)
@@ -169,7 +197,7 @@ def _whole(path: str, limit: int):
     return run
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, block_bytes: int = BLOCK) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, top: int = TOP) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for every row of ``docs``, over whole texts.
 
     A null text counts as empty: 0 bytes, 0 tokens.  Null ids and repeated rows keep their rows, extra columns are
@@ -177,21 +205,16 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
     parted (see ``parting``), such as a sentencepiece model, each text is encoded as a whole.
     """
     rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
-    result = schema_of(rows, "id", more="n_bytes long, n_tokens long, over_limit boolean")
     if parting(tokenizer_path) is None:
+        result = schema_of(rows, "id", more="n_bytes long, n_tokens long, over_limit boolean")
         return rows.mapInArrow(_whole(tokenizer_path, limit), result).withColumnRenamed("id", id_col)
-    more = "block long, n_bytes long, n int, which binary, often binary, word int, unit string, times int"
-    found = table(rows.mapInArrow(_blocks(tokenizer_path, block_bytes), schema_of(rows, "id", more=more)))
-    units = found.where("unit is not null").select("block", "word", "unit", "times")
-    pieces = table(units.select("unit").distinct().mapInArrow(_counted(tokenizer_path), "unit string, pieces long"))
-    worth = units.join(pieces, "unit").groupBy("block", "word").agg(F.sum(F.col("times") * F.col("pieces")).alias("pieces"))
-    own = found.where("unit is null").select(F.col("block").alias("own_block"), "id", "n_bytes", "n", "which", "often")
-
-    def total(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        value = np.zeros(len(theirs) and int(theirs["word"].to_numpy().max()) + 1, np.int64)
-        value[theirs["word"].to_numpy()] = theirs["pieces"].to_numpy()
-        each = zip(mine["n"].to_pylist(), mine["which"].to_pylist(), mine["often"].to_pylist(), strict=True)
-        tokens = np.array([value[_values(w, n)] @ _values(o, n).astype(np.int64) if n else 0 for n, w, o in each], np.int64)
-        return pa.table([mine["id"], mine["n_bytes"], pa.array(tokens), pa.array(tokens > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
-
-    return own.groupBy("own_block").cogroup(worth.groupBy("block")).applyInArrow(total, result).withColumnRenamed("id", id_col)
+    units = rows.select("text").mapInArrow(_pre_tokens(tokenizer_path), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("c"))
+    counted = table(units.mapInArrow(_counted(tokenizer_path), "unit string, c long, pieces long"))
+    shared = ship(docs.sparkSession, most_frequent(counted, top))
+    stream = rows.select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    both = table(stream.mapInArrow(_summed(tokenizer_path, shared), schema_of(stream, "row", "id", more="n_bytes long, n long, unit string, times int")))
+    rare = both.where("unit is not null").select("row", "unit", "times")
+    late = rare.join(counted.select("unit", "pieces"), "unit").groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("more"))
+    out = both.where("unit is null").select("row", "id", "n_bytes", "n").join(late, "row", "left")
+    tokens = F.col("n") + F.coalesce("more", F.lit(0))
+    return out.select(F.col("id").alias(id_col), "n_bytes", tokens.alias("n_tokens"), (tokens > limit).alias("over_limit"))
