@@ -8,7 +8,9 @@ import pickle
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +98,13 @@ def rows_per_partition(spark: SparkSession, rows: int, each: int) -> int:
     return max(1, -(-rows // each), min(spark.sparkContext.defaultParallelism, -(-rows // 256)))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, for work that holds Python objects of a whole batch."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def schema_of(df: DataFrame, *names: str, more: str) -> T.StructType:
     """The fields ``names`` of ``df`` followed by the fields of the DDL string ``more``."""
     fields = [df.schema[n] for n in names]

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import col, cut, fresh, schema_of, table
+from ._common import col, cut, fresh, schema_of, sliced, table
 
 SEGMENTS = 32
 #: 64-bit words of a wide fingerprint; a grid's random segments are drawn from all of them.
@@ -45,7 +45,7 @@ BLOCK = 8_192
 #: Edges of a partition between rounds of components; partitions grow with the edges, and few edges make few files.
 EDGES_EACH = 200_000
 #: Distances that a task computes at a time.
-PAIRS_AT_ONCE = 250_000
+PAIRS_AT_ONCE = 100_000
 #: Texts of up to so many distinct shingles have an exact way to candidates besides the random grids.
 SHORT = 80
 
@@ -92,8 +92,8 @@ def bit_totals(hashes: np.ndarray) -> np.ndarray:
     """For each bit of 64-bit hashes, or of rows of several, in how many it is set."""
     width = 8 * hashes.itemsize * (hashes.shape[1] if hashes.ndim > 1 else 1)
     totals = np.zeros(width, np.int64)
-    for at in range(0, len(hashes), 65_536):
-        bits = np.unpackbits(np.ascontiguousarray(hashes[at : at + 65_536]).view(np.uint8).reshape(-1, width // 8), axis=1, bitorder="little")
+    for at in range(0, len(hashes), 16_384):
+        bits = np.unpackbits(np.ascontiguousarray(hashes[at : at + 16_384]).view(np.uint8).reshape(-1, width // 8), axis=1, bitorder="little")
         whole = len(bits) // 128 * 128
         totals += bits[:whole].reshape(-1, 128, width).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
         totals += bits[whole:].sum(axis=0, dtype=np.int64)
@@ -112,7 +112,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], ["id", "fp", "h"])
 
     def run_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).cast(pa.binary())
             hashes = [_distinct_hashes(t.as_py() or b"", shingle) for t in texts]
             words = np.array([_wide_of(h) for h in hashes], np.uint64).reshape(-1, WORDS)

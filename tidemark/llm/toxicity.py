@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import col, cut, id_remainder, schema_of, ship, shipped, table
+from ._common import col, cut, id_remainder, schema_of, ship, shipped, sliced, table
 
 #: Labelled texts that voters are chosen and the classifier is fitted on, toxic and clean, at most.
 FIT_TOXIC, FIT_CLEAN = 2_000, 3_000
@@ -198,7 +198,7 @@ def _voted(lexicon: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, tuple[int, ...]] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             votes = np.zeros((len(batch), len(place) + len(PATTERNS) + 1), bool)
             for i, text in enumerate(batch.column(0).to_pylist()):
                 words = words_of(text)
@@ -276,7 +276,7 @@ def _logistic(x: np.ndarray, q: np.ndarray, weight: np.ndarray, rounds: int = 25
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         texts = batch.column(0).to_pylist()
         found = [feature_counts(t) for t in texts]
         parts = [pa.array([x.tobytes() for x in c], pa.binary()) for c in list(zip(*found, strict=True))[:2]] if found else [pa.array([], pa.binary())] * 2
@@ -327,7 +327,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, kept = shipped(shared), {}
-        for batch in batches:
+        for batch in sliced(batches):
             scores = []
             for text in batch.column(2).to_pylist():
                 words = words_of(text)
@@ -351,7 +351,7 @@ def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", thresho
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, kept = shipped(shared), {}
-        for batch in batches:
+        for batch in sliced(batches):
             keep = []
             for text in batch.column(at).to_pylist():
                 words = words_of(text)
