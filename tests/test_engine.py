@@ -18,7 +18,7 @@ from tidemark.plans.model import Anonymised, ConfigurationError, Detail, Entity,
 from tidemark.plans.order import execution_order, first_of_each, validate
 from tidemark.sources import snapshots
 from tidemark.sources.schemas import DETAILS, HOLDS, QUEUE, RUNS, SchemaError, check
-from tidemark.sources.snapshots import Conflict, Snapshots
+from tidemark.sources.snapshots import FILE, Conflict, Snapshots
 from tidemark.streaming import dispatcher, worker
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -402,3 +402,21 @@ def test_stream(spark, tmp_path):
     s = dispatcher.stream(spark, arrivals, q, lambda: details, lambda: runs, {"good": good, "other": good}, Options(), str(tmp_path / "cp"), lambda: NOW)
     s.awaitTermination(120)
     assert {r.id: r.state for r in q.current().collect()} == {1: 2, 7: 2}
+
+
+def test_flush_leaves_settled_files_alone(spark, tmp_path):
+    """Files without open work stay as they are, those of a detail with open work take part, and what a flush settles
+    lies in files of its own."""
+    q, details, runs = queue_tables(spark, tmp_path, [(1, 1, "good", 2), (2, 2, "bad", 3), (3, 3, "good", 2)])
+    later = [(i, d, "good", 0, s, 0, NOW, NOW, None, None, None, None) for i, d, s in [(5, 2, 0), (6, 3, 0), (7, 4, 0)]]
+    for row in later:
+        q.commit(q.write(spark.createDataFrame([row], QUEUE).coalesce(1)), q.version(), instead_of=[])
+    settled = {r[FILE] for r in q.current(with_file=True).where("id = 1").collect()} - {r[FILE] for r in q.current(with_file=True).where("id > 1").collect()}
+    details = details.unionByName(details.limit(1).withColumns({"id": F.lit(4).cast("long"), "record_id": F.lit("4"), "payload": F.lit(encode_snapshot({"d": 4}))}))
+    dispatcher.flush(q, details, runs, {"good": good}, Options(), NOW)
+    assert {r.id: r.state for r in q.current().collect()} == {1: 2, 2: 3, 3: 2, 5: 3, 6: 2, 7: 2}
+    kept = set(q.manifest()["files"])
+    assert settled and settled <= kept
+    version = q.version()
+    dispatcher.flush(q, details, runs, {"good": good}, Options(), NOW)
+    assert q.version() == version and set(q.manifest()["files"]) == kept

@@ -20,7 +20,7 @@ from tidemark.functions.text import decode_snapshot, diagnostic, shorten
 from tidemark.operators import queue as q
 from tidemark.plans.model import Options
 from tidemark.sources.schemas import QUEUE
-from tidemark.sources.snapshots import Snapshots
+from tidemark.sources.snapshots import FILE, Snapshots
 
 Handler = Callable[[dict, dict], None]
 
@@ -56,29 +56,32 @@ def run_handlers(claimed: DataFrame, details: DataFrame, handlers: dict[str, Han
 def flush(queue: Snapshots, details: DataFrame | Snapshots, runs: DataFrame | Snapshots, handlers: dict[str, Handler], options: Options, now: datetime, *, ignore_backoff: bool = True, rounds: int = 1_000) -> DataFrame:
     """Work off the queue until nothing is due; (pending, in_flight) that is left.  Runs abandoned meanwhile count as
     failed, and payloads that nothing waits for, or that are past their retention, are gone afterwards: stored tables
-    are changed, frames are read so.  Each round claims ``dispatch_batch`` rows, or all that are due without it."""
+    are changed, frames are read so.  Each round claims ``dispatch_batch`` rows, or all that are due without it, and
+    rewrites only files that hold rows of a detail with open work; settled rows are written to files of their own."""
     far = datetime(9999, 1, 1, tzinfo=now.tzinfo) if ignore_backoff else now
     runs = _changed(runs, lambda df: q.fail_stale(df, now=now, timeout=options.run_timeout))
     stored_details = details
     details = _changed(details, lambda df: q.expire(df, now=now, retention=options.payload_retention))
     for _ in range(rounds):
         base, token = queue.version(), str(uuid.uuid4())
-        rows = q.dead_letter_exhausted(queue.current(), now=now, lease=options.lease, max_attempts=options.max_attempts)
+        touched = _open_files(queue)
+        if not touched:
+            break
+        rows = q.dead_letter_exhausted(queue.current(files=touched), now=now, lease=options.lease, max_attempts=options.max_attempts)
         ready = q.due(rows, details, runs, now=now, lease=options.lease, max_attempts=options.max_attempts, due_at=far, limit=options.dispatch_batch)
         ids = ready.select("id", F.lit(True).alias("_claim"))
         marked = rows.join(ids, "id", "left")
         claimed = q.claim(marked.where("_claim").drop("_claim"), now, token)
-        name = queue.write(marked.where("_claim is null").drop("_claim").unionByName(claimed).select(*QUEUE.fieldNames()))
-        stored = queue.spark.read.schema(QUEUE).parquet(f"{queue.root}/{name}")
+        name = queue.write(marked.where("_claim is null").drop("_claim").unionByName(claimed).select(*QUEUE.fieldNames()), apart=~q.open_state())
+        base = queue.commit(name, base, instead_of=touched)
+        stored = queue.current(files=queue.files(name))
         own = stored.where(F.col("claim_token") == token)
         if own.limit(1).isEmpty():
-            queue.commit(name, base)
             queue.vacuum()
             break
-        base = queue.commit(name, base)
         told = queue.spark.read.parquet(f"{queue.root}/{(outcomes := queue.write(run_handlers(own, details, handlers, options.dispatch_parallelism)))}")
         after = q.settle(stored, told, now=now, base_seconds=int(options.base_backoff.total_seconds()), max_attempts=options.max_attempts)
-        queue.commit(queue.write(after), base)
+        queue.commit(queue.write(after, apart=~q.open_state()), base, instead_of=queue.files(name))
         queue.folder.delete(outcomes)
         queue.vacuum()
     if isinstance(stored_details, Snapshots):
@@ -86,6 +89,13 @@ def flush(queue: Snapshots, details: DataFrame | Snapshots, runs: DataFrame | Sn
     return q.remainder(queue.current())
 
 
+def _open_files(queue: Snapshots) -> list[str]:
+    """Files with a row of any detail that has open work: earlier rows of a detail decide about its open ones."""
+    rows = queue.current(with_file=True).select("detail_id", "state", FILE)
+    waiting = rows.where(q.open_state()).select("detail_id").distinct()
+    return [r[FILE] for r in rows.join(waiting, "detail_id", "left_semi").select(FILE).distinct().collect()]
+
+
 def _changed(table: DataFrame | Snapshots, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
     if isinstance(table, DataFrame):
         return change(table)
@@ -102,7 +112,7 @@ def stream(spark: SparkSession, arrivals: str, queue: Snapshots, details: Callab
         base = queue.version()
         known = queue.current() if base else spark.createDataFrame([], QUEUE)
         fresh = rows.join(known.select("id"), "id", "left_anti").dropDuplicates(["detail_id", "handler"])
-        queue.commit(queue.write(known.unionByName(fresh)), base)
+        queue.commit(queue.write(fresh.select(*QUEUE.fieldNames())), base, instead_of=[] if base else None)
         flush(queue, details(), runs(), handlers, options, clock(), ignore_backoff=False)
 
     writer = spark.readStream.schema(QUEUE).parquet(arrivals).writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
